@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets_ledger
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op6_secret_scans": secrets_ledger.op6_secret_scans,
 }
 
 ORACLE = {
     "op2_mixing": mixing.OP2_SQL,
+    "op6_secret_scans": secrets_ledger.OP6_SQL,
 }
