@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets_ledger
+from . import mixing, secrets_ledger, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_sharding": sharding.op3_sharding,
     "op6_secret_scans": secrets_ledger.op6_secret_scans,
 }
 
