@@ -39,8 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, proven by decoding them: doc_id, lang, source, n_tokens, ids, ids_sha256,
     decoded_sha256."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
-    both = bpe.decode(encoded)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -17,17 +17,17 @@ manifest (a parquet table of one row a file) says how many ids precede it.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import folder, shuffle_partitions, table, written
+from .common import Store, folder, shuffle_partitions, table, written
 from .files import put, random_access
 
 MAGIC, VERSION = b"SFRANS", 1
@@ -222,60 +222,111 @@ class Reader:
             held, at = held[n:], at + n
 
 
-_tokenizers: dict[str, tuple] = {}
+#: Words kept by a worker from one batch to the next, and words that one call of the library encodes.
+CACHE, CALL = 600_000, 2_000
 
 
-def tokenize(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of texts by a tokenizers file whose rules never join text across white space.
+class Tokens:
+    """Ids by a tokenizers file whose rules never join text across white space.
 
-    Texts are cut at ASCII white space, distinct runs are encoded once by the library and kept by the
-    worker (at most 400,000), and a text's ids are those of its runs in order.
+    Texts are cut at ASCII white space; distinct words are encoded by the library, many in one text with
+    a special token between them (such a token cuts a text before any rule looks at it), and a text's
+    ids are those of its words in order. Words that hold a special token go alone.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _tokenizers[path]
-    split = [t.split() if t.isascii() else t.translate(_SPACES).split(" ") for t in texts]
-    new = list(set().union(*split).difference(cache)) if split else []
-    if len(cache) + len(new) > 400_000:
-        cache.clear()
-        new = list(set().union(*split))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for word, enc in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            cache[word] = enc.ids
-    return [np.fromiter(chain.from_iterable(map(cache.__getitem__, row)), np.int64) for row in split]
+        self.own = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.own.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip and not t.single_word]
+        self.cut, self.mark = special[0] if special else (None, None)
+        self.odd = re.compile("[" + "".join(re.escape(c) for c in self.mark or "" if not c.isalnum()) + "]") if self.mark and not self.mark.isalnum() else None
+        # special tokens are looked for before normalising: texts that might hold one keep their case
+        lower = self.own.normalizer is not None and self.own.normalizer.normalize_str("A") == "a"
+        self.special = [t.content.lower() for t in self.own.get_added_tokens_decoder().values()] if lower else None
+        self.known = Store()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [w for w in words if self.odd is None or self.odd.search(w)]
+        for w in alone:
+            ids = self._ids(w)
+            self.known.add([w], np.array([len(ids)]), np.array(ids, np.int64))
+        odd = set(alone)
+        rest = [w for w in words if w not in odd]
+        for i in range(0, len(rest), CALL):
+            part = rest[i : i + CALL]
+            ids = np.asarray(self._ids(self.mark.join(part)), np.int64)
+            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.cut), [len(ids)]])
+            self.known.add(part, np.diff(cuts) - 1, ids[ids != self.cut])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids)."""
+        split = [words_of(t, self.special) for t in texts]
+        if len(self.known.slot) > CACHE:
+            self.known = Store()
+        self._learn(list(set().union(*split).difference(self.known.slot)))
+        return self.known.put_together(split)
+
+
+_OTHER = re.compile("[\x1c-\x1f]")
+
+
+def words_of(text: str, special: list[str] | None) -> list[str]:
+    """The text cut at ASCII white space only: str.split() alone would also cut at separators that the
+    library sees to. ASCII text is lower-cased early where the library does so anyway (``special`` isn't
+    None) and no special token, in any case, is in it."""
+    if text.isascii() and not _OTHER.search(text):
+        low = text if special is None else text.lower()
+        return (text if special is None or any(x in low for x in special) else low).split()
+    for c in "\t\n\r\x0b\x0c":
+        text = text.replace(c, " ")
+    return text.split(" ")
+
+
+_tokens: dict[str, Tokens] = {}
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as bytes that sort like the ids: width, then big-endian numbers of 2 bytes (4, if any needs them)."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f">u{width}").tobytes()
 
 
-#: ASCII white space to spaces; str.split() alone would also cut at other white space, which the library sees to.
-_SPACES = {i: " " for i in (9, 10, 11, 12, 13)}
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f">u{raw[0]}", offset=1).astype(np.int64)
 
 
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id and ids (array of int) of ``docs`` (doc_id, text), an end id after each document. Null
-    texts count as empty."""
+    """doc_id and ids (packed()) of ``docs`` (doc_id, text), an end id after each document. Null texts
+    count as empty."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
+    tail = np.array([] if end_id is None else [end_id], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [] if end_id is None else [end_id]
+        if path not in _tokens:
+            _tokens[path] = Tokens(path)
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
                 batch = whole.slice(first, 1000)
-                ids = [np.concatenate([x, np.asarray(tail, np.int64)]) for x in tokenize([t or "" for t in batch.column(1).to_pylist()], path)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+                counts, flat = _tokens[path].encode([t or "" for t in batch.column(1).to_pylist()])
+                rows = [packed(np.concatenate([x, tail])) for x in np.split(flat, np.cumsum(counts)[:-1])] if batch.num_rows else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def _lists(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values and lengths of a list column; null lists are empty."""
+    """Flat values and lengths of a column of ids, arrays or packed(); null ones are empty."""
     column = batch.column(k)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        rows = [unpacked(r) if r else np.zeros(0, np.int64) for r in column.to_pylist()]
+        return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.array([len(r) for r in rows], np.int64)
     lengths = np.asarray(column.value_lengths().fill_null(0))
     return np.asarray(column.flatten()).astype(np.int64), lengths.astype(np.int64)
 
@@ -302,7 +353,7 @@ def count_ids(tokens: DataFrame) -> Table:
 
 
 def write_tokens(tokens: DataFrame, tab: Table, target: str, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Write ``tokens`` (doc_id, ids) below ``target`` in ascending doc_id (null first, ties by ids).
+    """Write ``tokens`` (doc_id, ids: arrays or packed()) below ``target`` in ascending doc_id (null first, ties by ids).
     Returns the manifest: file, name, n_docs, n_ids, base (ids before the file)."""
     spark = tokens.sparkSession
     files = max(shuffle_partitions(spark), -(-tokens.count() // file_docs))
@@ -332,9 +383,10 @@ def write_tokens(tokens: DataFrame, tab: Table, target: str, file_docs: int = FI
     return written(listed.withColumn("base", F.coalesce(F.sum("n_ids").over(upto), F.lit(0))), "ids-manifest")
 
 
-def read_tokens(manifest: DataFrame, tab: Table, target: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids of every document,
-    from the files that ``manifest`` lists."""
+def read_tokens(manifest: DataFrame, tab: Table, target: str, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked, ids of every
+    document, from the files that ``manifest`` lists. All blocks are decoded and verified either way."""
+    wanted = ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for listed in batches:
@@ -342,7 +394,7 @@ def read_tokens(manifest: DataFrame, tab: Table, target: str) -> DataFrame:
                 rows, held = [], 0
                 with random_access(target, name) as source:
                     for doc_id, at, ids in Reader(source, tab).documents():
-                        rows.append((doc_id, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32)))
+                        rows.append((doc_id, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32) if wanted else None))
                         held += len(ids)
                         if held > 1 << 20:
                             yield _batch(rows)
@@ -364,4 +416,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = written(token_ids(table(spark, sf_dir, "documents")), "ids")
     tab, target = count_ids(tokens), folder(spark, "id-files")
     manifest = write_tokens(tokens, tab, target)
-    return read_tokens(manifest, tab, target).drop("ids")
+    return read_tokens(manifest, tab, target, ids=False).drop("ids")

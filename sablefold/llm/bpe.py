@@ -1,9 +1,10 @@
 """Byte-level BPE by DuckDB recursive queries, one database inside each Python worker.
 
 Encoding: every text is cut into pieces by the vocabulary's pattern. The distinct pieces of a batch
-that the worker has not met go into a table of token-position rows (piece, position, token); a
-recursive query joins neighbours with the merge table, contracts the leftmost pair of minimum rank
-of every piece, and ends at the fixpoint, when no piece has a pair left. A piece's ids are then put
+that the worker has not met go into a table of token lists; a recursive query unfolds them into
+token-position rows (piece, position, token, next token), joins those with the merge table, contracts
+the leftmost pair of minimum rank of every piece, and ends at the fixpoint, when no piece has a pair
+left. A piece's ids are then put
 together for all its occurrences. Merging never crosses a piece, so texts of any length cost in
 proportion to their distinct pieces.
 
@@ -24,41 +25,38 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Store, table
 
 #: Bytes from which a piece is merged through a heap.
 LONG = 256
 #: Pieces, and spans of pieces, kept by a worker from one batch to the next.
-CACHE = 400_000
-MEMORY = "250MB"
+CACHE = 500_000
+MEMORY = "200MB"
 
 _ENCODE = """
-WITH RECURSIVE state(piece, pos, tok, live) AS (
-  SELECT piece, pos, tok, true FROM start
+WITH RECURSIVE state(piece, ids, live) AS (
+  SELECT piece, ids, true FROM start
   UNION ALL
-  SELECT piece, pos, tok, live FROM (
-    WITH pairs AS (
-      SELECT s.piece, s.pos, s.tok, lead(s.pos) OVER w AS next, lead(s.tok) OVER w AS other
-      FROM state s WHERE s.live WINDOW w AS (PARTITION BY s.piece ORDER BY s.pos)),
-    ranked AS (SELECT p.piece, p.pos, p.tok, p.next, m.merged FROM pairs p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.other),
-    best AS (SELECT piece, min(merged * 4294967296 + pos) AS top FROM ranked WHERE merged IS NOT NULL GROUP BY piece),
-    hit AS (SELECT b.piece, b.top // 4294967296 AS merged, b.top % 4294967296 AS at FROM best b),
-    gone AS (SELECT r.piece, r.next FROM ranked r JOIN hit h ON h.piece = r.piece AND h.at = r.pos)
-    SELECT r.piece, r.pos, CASE WHEN h.at = r.pos THEN h.merged ELSE r.tok END AS tok, h.piece IS NOT NULL AS live
-    FROM ranked r LEFT JOIN hit h ON h.piece = r.piece LEFT JOIN gone g ON g.piece = r.piece AND g.next = r.pos
-    WHERE g.piece IS NULL))
-SELECT piece, list(tok ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY piece
+  SELECT s.piece,
+    CASE WHEN b.top IS NULL THEN s.ids ELSE list_concat(s.ids[:(b.top & 4294967295) - 1], [b.top >> 32], s.ids[(b.top & 4294967295) + 2:]) END,
+    b.top IS NOT NULL
+  FROM state s LEFT JOIN (
+    SELECT p.piece, min((m.merged << 32) | p.pos) AS top
+    FROM (SELECT piece, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, unnest(range(1, len(ids))) AS pos FROM state WHERE live) p
+    JOIN merges m ON m.a = p.a AND m.b = p.b GROUP BY p.piece) b ON b.piece = s.piece
+  WHERE s.live)
+SELECT piece, ids FROM state WHERE NOT live ORDER BY piece
 """
 
 _DECODE = """
-SELECT t.doc, array_to_string(list(v.hex ORDER BY t.pos), '') AS hex
+SELECT t.doc, unhex(array_to_string(list(v.hex ORDER BY t.pos), '')) AS raw
 FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM texts) t JOIN vocab v ON v.id = t.id
 GROUP BY t.doc
 """
@@ -90,39 +88,34 @@ class Codec:
         self.ranks = read_ranks(path)
         self.pieces = regex.compile(pattern).findall
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": False})
-        self.cache: dict[str, list[int]] = {}
-        self.spans: dict[str, list[int]] = {}
+        self.known, self.spans = Store(), Store()
         ids = self.ranks
         merges = [(ids[t[:i]], ids[t[i:]], r) for t, r in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids]
         a, b, merged = zip(*merges, strict=True) if merges else ((), (), ())
         self._table("merges", {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "merged": pa.array(merged, pa.int64())})
         self._table("vocab", {"id": pa.array(list(ids.values()), pa.int64()), "hex": pa.array([t.hex() for t in ids], pa.string())})
-        self.bytes = [ids[bytes([i])] for i in range(256)]
+        self.bytes = np.array([ids[bytes([i])] for i in range(256)], np.int64)
 
     def _table(self, name: str, columns: dict) -> None:
         source = pa.table(columns)  # noqa: F841
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM source")
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of pieces that the cache lacks."""
-        at, pos, tok, short = [], [], [], []
-        for piece in new:
-            raw = piece.encode("utf-8", "surrogatepass")
-            if (whole := self.ranks.get(raw)) is not None:
-                self.cache[piece] = [whole]
-            elif len(raw) > LONG:
-                self.cache[piece] = self.merge(raw)
-            else:
-                k = len(short)
-                short.append(piece)
-                at += [k] * len(raw)
-                pos += range(len(raw))
-                tok += [self.bytes[x] for x in raw]
+        """Ids of pieces that the store lacks."""
+        raws = [p.encode("utf-8", "surrogatepass") for p in new]
+        direct = [i for i, r in enumerate(raws) if r in self.ranks]
+        if direct:
+            self.known.add([new[i] for i in direct], np.ones(len(direct), np.int64), np.array([self.ranks[raws[i]] for i in direct]))
+        for i in [i for i, r in enumerate(raws) if len(r) > LONG and r not in self.ranks]:
+            ids = self.merge(raws[i])
+            self.known.add([new[i]], np.array([len(ids)]), np.array(ids))
+        short = [i for i, r in enumerate(raws) if len(r) <= LONG and r not in self.ranks]
         if short:
-            self._table("start", {"piece": pa.array(at, pa.int32()), "pos": pa.array(pos, pa.int64()), "tok": pa.array(tok, pa.int64())})
-            got = self.db.sql(_ENCODE).to_arrow_table()
-            for k, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-                self.cache[short[k]] = ids
+            offsets = np.concatenate([[0], np.cumsum([len(raws[i]) for i in short])]).astype(np.int32)
+            tokens = self.bytes[np.frombuffer(b"".join([raws[i] for i in short]), np.uint8)]
+            self._table("start", {"piece": pa.array(range(len(short)), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))})
+            ids = self.db.sql(_ENCODE).to_arrow_table().column(1).combine_chunks()
+            self.known.add([new[i] for i in short], np.asarray(ids.value_lengths()).astype(np.int64), np.asarray(ids.flatten()))
 
     def merge(self, raw: bytes) -> list[int]:
         """One piece by a heap of pairs: leftmost pair of minimum rank first."""
@@ -152,30 +145,29 @@ class Codec:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
         """Ids of texts. Spans repeat, so a span's ids are put together from its pieces once."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.spans) > CACHE:
-            self.spans.clear()
+        if len(self.known.slot) > CACHE:
+            self.known = Store()
+        if len(self.spans.slot) > CACHE:
+            self.spans = Store()
         split = [self.spans_of(t) for t in texts]
-        new = {s: self.pieces(s) for s in set().union(*split).difference(self.spans)}
-        pieces = list(set().union(*new.values()).difference(self.cache))
+        new = list(set().union(*split).difference(self.spans.slot))
+        cut = [self.pieces(s) for s in new]
+        pieces = list(set().union(*cut).difference(self.known.slot))
         for i in range(0, len(pieces), 50_000):
             self._learn(pieces[i : i + 50_000])
-        known, spans = self.cache, self.spans
-        for span, own in new.items():
-            spans[span] = known[own[0]] if len(own) == 1 else [x for p in own for x in known[p]]
-        return [list(chain.from_iterable(map(spans.__getitem__, row))) for row in split]
-
-    def decode(self, ids: pa.Array) -> list[bytes]:
-        source = pa.table({"doc": pa.array(range(len(ids)), pa.int64()), "ids": ids})
-        self.db.register("texts", source)
+        self.spans.add(new, *self.known.put_together(cut))
+        counts, flat = self.spans.put_together(split)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        self.db.register("texts", pa.table({"doc": pa.array(range(len(ids)), pa.int64()), "ids": ids}))
         got = self.db.sql(_DECODE).to_arrow_table()
         out = [b""] * len(ids)
-        for k, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            out[k] = bytes.fromhex(text)
-        return out
+        for k, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+            out[k] = raw
+        return pa.array(out, pa.binary())
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -194,32 +186,37 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, t
     Null texts count as empty and have no ids. Text that looks like a special token is ordinary text.
     A column of ``df`` named like ``ids`` is replaced.
     """
-    return _mapped(df.drop(ids), text, ids, "array<int>", path, pattern, "encode")
+    return _mapped(df.drop(ids), text, [(ids, "array<int>")], path, pattern, lambda own, values: [own.encode([t or "" for t in values.to_pylist()])])
 
 
 def decode(df: DataFrame, path: str | None = None, pattern: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of its token ids (binary; not always valid UTF-8) beside its own columns.
     Null ids decode to nothing."""
-    return _mapped(df.drop(out), ids, out, "binary", path, pattern, "decode")
+    return _mapped(df.drop(out), ids, [(out, "binary")], path, pattern, lambda own, values: [own.decode(values)])
+
+
+def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encode() and decode() of what it gave, in one pass and one worker for each task."""
+
+    def both(own: Codec, values: pa.Array) -> list[pa.Array]:
+        tokens = own.encode([t or "" for t in values.to_pylist()])
+        return [tokens, own.decode(tokens)]
+
+    return _mapped(df.drop(ids, out), text, [(ids, "array<int>"), (out, "binary")], path, pattern, both)
 
 
-def _mapped(df: DataFrame, source: str, name: str, kind: str, path: str | None, pattern: str | None, what: str) -> DataFrame:
+def _mapped(df: DataFrame, source: str, new: list[tuple[str, str]], path: str | None, pattern: str | None, work: Callable[[Codec, pa.Array], list[pa.Array]]) -> DataFrame:
     default = (None, None) if path and pattern else _default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
-    at = df.columns.index(source)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{name}` {kind}"])
+    at, names = df.columns.index(source), [n for n, _ in new]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {kind}" for n, kind in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                values = batch.column(at)
-                if what == "encode":
-                    new = pa.array(own.encode([t or "" for t in values.to_pylist()]), pa.list_(pa.int32()))
-                else:
-                    new = pa.array(own.decode(values), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *work(own, batch.column(at))], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -231,5 +228,4 @@ def digests(df: DataFrame, ids: Column, decoded: Column) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` encoded, and its ids decoded."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs).select("doc_id", "ids"))
-    return digests(both, F.col("ids"), F.col("decoded"))
+    return digests(round_trip(docs), F.col("ids"), F.col("decoded"))

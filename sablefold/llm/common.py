@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,28 @@ def word_count(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Store:
+    """Ids of strings, laid end to end: 4 bytes an id, and slots by string."""
+
+    def __init__(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.start, self.size, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, keys: list[str], sizes: np.ndarray, values: np.ndarray) -> None:
+        n = len(self.start)
+        self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.start = np.concatenate([self.start, len(self.values) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.values = np.concatenate([self.values, values.astype(np.int32)])
+
+    def put_together(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows of stored strings: (ids of each row, all ids)."""
+        slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(rows)), np.int64)
+        sizes = self.size[slots]
+        ends = np.cumsum(sizes)
+        flat = self.values[np.repeat(self.start[slots] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        last = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+        return np.diff(upto), flat

@@ -13,7 +13,8 @@ a connected component of links; its name is its smallest doc_id.
    Comparing means signatures, in matrix form; pairs above a slack threshold become candidates, of
    which a region emits a spanning forest, never all pairs.
 3. Connected components of the candidates (hash-to-min over edges, written each round).
-4. The texts of a candidate component meet once. Inside, a breadth-first search confirms links exactly
+4. The texts of a candidate component meet once: a filter of fixed size (at most ``FILTER_BITS`` bits, by
+   hashed doc_id) keeps most other texts from moving at all. Inside, a breadth-first search confirms links exactly
    on full sets: a pivot is compared with all members not yet reached, in one vector operation, so a
    group around one original costs one pass, and any link inside the component is found, whether the
    forest emitted it or not. Signatures skip pairs far below the threshold.
@@ -22,7 +23,7 @@ a connected component of links; its name is its smallest doc_id.
    different groups afterwards are confirmed pair by pair. Chunks join through hubs and those pairs.
 
 What is approximate: whether a candidate component contains a pair at all. A pair at similarity 0.85
-shares no region in any tree with probability below 1e-5; confirmation itself is exact.
+shares no region in any tree with probability below 1e-6; confirmation itself is exact.
 """
 
 from __future__ import annotations
@@ -30,22 +31,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table, written
 
-TREES, DEPTH = 16, 6
+TREES, DEPTH = 12, 6
 HASHES = TREES * DEPTH
 #: Least shared hash values of a region, and rows up to which a region is compared as a whole.
-LEAST, REGION = 3, 384
+LEAST, REGION = 2, 384
 #: Standard deviations of the signature's estimate by which a candidate may lie below the threshold.
 SLACK = 3.5
 #: Shingles of a candidate component that one task takes, and hubs of a larger one.
 BULK = 3_000_000
 HUBS = 4
 
+#: Bits of the filter of members, at most; it lets some other documents pass, which the join then drops.
+FILTER_BITS = 1 << 27
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -359,6 +364,25 @@ def _pairs(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return edges.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def _likely(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be one of ``members``: all of those and a few others."""
+    bits = 1 << 16
+    while bits < min(16 * count, FILTER_BITS):
+        bits *= 2
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+    words = members.filter(F.col("doc_id").isNotNull()).select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return docs.filter(F.col("doc_id").isNotNull()).filter(may(place))
+
+
 def group_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bulk: int = BULK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -385,7 +409,7 @@ def group_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         hubs = hubs.select("root", "key", "doc_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         placed = written(usual.unionByName(dealt).unionByName(hubs), "dedup-placed")
     # texts of members only; a text's own digest says which of several rows with an id is meant
-    texts = docs.join(placed, "doc_id").select("root", "chunk", "key", "text")
+    texts = _likely(docs, member, member.count()).join(placed, "doc_id").select("root", "chunk", "key", "text")
     none = placed.filter(F.col("doc_id").isNull())
     if none.limit(1).count():
         # classes without any id: their text is found by its set

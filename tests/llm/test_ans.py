@@ -9,7 +9,7 @@ from sablefold.llm.common import folder
 from .helpers import documents
 
 P = pytest.importorskip("public_tokenizers")
-ROWS = [(5, "Hello  World's 123!", "en", "s"), (2, None, "en", "s"), (3, "", None, None), (9, "naïve É 😀 日本語 z\x0b\x1c y\x85 é", "en", "s"), (9, "same id", "en", "s"), (None, "no id", "en", "s"), (7, "<|endoftext|>word " * 3, "en", "s"), (8, "the quick brown fox " * 30_000, "en", "s")]
+ROWS = [(5, "Hello  World's 123!", "en", "s"), (2, None, "en", "s"), (3, "", None, None), (9, "naïve É 😀 日本語 z\x0b\x1c y\x85 é", "en", "s"), (9, "same id", "en", "s"), (None, "no id", "en", "s"), (7, "<|endoftext|>word <|EndOfText|> Up " * 3, "en", "s"), (8, "the quick brown fox " * 30_000, "en", "s")]
 
 
 @pytest.mark.parametrize("rows", [ROWS, [], [(i * 7 % 97, "w " * (i % 5), "en", "s") for i in range(97)]])
