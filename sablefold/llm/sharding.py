@@ -82,10 +82,11 @@ def curve(dims: list[Column], cuts: list[list[float]], bits: int = BITS) -> Colu
 
 def quantiles(df: DataFrame, dims: list[Column], bits: int = BITS) -> list[list[float]]:
     """At most 2**bits - 1 cut points of each column over all its rows, by an approximate quantile
-    sketch; empty where the table is."""
+    sketch; empty where the table is. The least value cuts nothing off and is left out, so two values
+    fall into the two halves of the curve."""
     steps = [i / 2**bits for i in range(1, 2**bits)]
-    row = df.select(*[F.percentile_approx(d, steps, 10_000).alias(f"q{i}") for i, d in enumerate(dims)]).first()
-    return [[float(v) for v in (q or [])] for q in row]
+    row = df.select(*[F.struct(F.percentile_approx(d, steps, 10_000).alias("cuts"), F.min(d).alias("least")).alias(f"q{i}") for i, d in enumerate(dims)]).first()
+    return [[float(v) for v in (q["cuts"] or []) if v > q["least"]] for q in row]
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:

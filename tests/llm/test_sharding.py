@@ -47,7 +47,8 @@ def test_equal_texts_lie_side_by_side(spark, tmp_path):
 
 
 def test_shards_prune_on_each_dimension(spark, tmp_path):
-    rows = [(i, "x" * int(v), "en" if i % 2 else "fr", f"s{(i * 7) % 16:02d}") for i, v in enumerate(np.random.default_rng(3).integers(1, 4000, 1600))]
+    # no text occurs twice: copies lie side by side whatever their languages and sources are
+    rows = [(i, "x" * int(v) + f"{i:04d}", "en" if i % 2 else "fr", f"s{(i * 7) % 16:02d}") for i, v in enumerate(np.random.default_rng(3).integers(1, 4000, 1600))]
     got = sharding.op3_sharding(spark, documents(tmp_path, rows)).collect()
     source, lang = {r[0]: r[3] for r in rows}, {r[0]: r[2] for r in rows}
 
