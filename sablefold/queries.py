@@ -183,7 +183,7 @@ def shift_orders_17d(spark: SparkSession, d: str) -> DataFrame:
 def perturb_acctbal_5pct(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
     out = process(df, Config(perturb_pct=0.05, seed=9, value_detection=False), ["c_acctbal"])[0]
-    return out.select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"))
+    return out.select("c_custkey", "c_acctbal")
 
 
 # --- nested and JSON ---------------------------------------------------------------------------------
@@ -432,7 +432,7 @@ ORACLE = {
     "fake_reuse_across_tables": "SELECT DISTINCT c_nationkey::VARCHAR AS nation, true AS same FROM customer JOIN supplier ON c_nationkey = s_nationkey",
     "fake_dense_codes": "SELECT 900::BIGINT AS n_rows, 900::BIGINT AS n_originals, 900::BIGINT AS n_fakes, 0::BIGINT AS n_own, 0::BIGINT AS n_other_shape",
     "shift_orders_17d": "SELECT o_orderkey, (o_orderdate + INTERVAL 17 DAY)::DATE AS o_day, strftime(o_orderdate + INTERVAL 17 DAY, '%d/%m/%Y') AS o_text FROM orders",
-    "perturb_acctbal_5pct": f"SELECT c_custkey, round(round(c_acctbal * (1.0 + (('0x' || substr(md5('9:' || {_NUMBER.replace("{0}", 'c_acctbal')}), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE * 2.0 - 1.0) * 0.05::DOUBLE), 6), 4) AS c_acctbal FROM customer",
+    "perturb_acctbal_5pct": f"SELECT c_custkey, round(c_acctbal * (1.0 + (('0x' || substr(md5('9:' || {_NUMBER.replace("{0}", 'c_acctbal')}), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE * 2.0 - 1.0) * 0.05::DOUBLE), 6) AS c_acctbal FROM customer",
     "nested_struct_apply": f"SELECT c_custkey, {_MASK.replace("{0}", 'c_name')} AS full_name, c_name AS phone FROM customer",
     "array_struct_apply": f"SELECT c_custkey, 0::INT AS at, {_MASK.replace("{0}", 'c_mktsegment')} AS phone, 'x' AS label FROM customer UNION ALL SELECT c_custkey, 1, {_MASK.replace("{0}", 'c_name')}, 'y' FROM customer",
     "nested_restore": "SELECT c_custkey, c_name AS full_name, c_mktsegment AS first, c_name AS second FROM customer",
