@@ -12,8 +12,8 @@ A recursive step contracts one pair of each piece, so a piece of n bytes takes u
 Pieces longer than ``LONG`` bytes (runs of one letter, of white space) take the same rule, leftmost
 pair of minimum rank first, through a heap in O(n log n); results are the same.
 
-Decoding: rows (text, position, id) join the vocabulary and an ordered aggregation concatenates
-their bytes, in DuckDB as well.
+Decoding: rows (run of ids, position, id) join the vocabulary and an ordered aggregation concatenates
+their bytes, in DuckDB as well; a run is a word, and the distinct ones of a batch are decoded once.
 
 Memory: a batch's distinct pieces, a cache of at most ``CACHE`` pieces in each worker, and DuckDB
 under ``MEMORY``. Only the vocabulary's path is shipped; nothing is collected or shuffled, and a
@@ -26,18 +26,22 @@ import base64
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, table
+from .common import Store, portions, table
 
 #: Bytes from which a piece is merged through a heap.
 LONG = 256
 #: Pieces, and spans of pieces, kept by a worker from one batch to the next.
 CACHE = 500_000
+#: Rows and bytes of text (or ids) that a worker takes at once, and ids that one list of DuckDB's holds.
+ROWS, SIZE, RUN = 2_000, 8 << 20, 1 << 18
 MEMORY = "200MB"
 
 _ENCODE = """
@@ -63,7 +67,7 @@ GROUP BY t.doc
 
 #: Two characters of white space in a row, where text can't be cut at single spaces; and the cuts that
 #: are safe there: a space between two other characters always begins a piece.
-_RUN = re.compile(r"\s\s")
+_RUN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -95,6 +99,8 @@ class Codec:
         self._table("merges", {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "merged": pa.array(merged, pa.int64())})
         self._table("vocab", {"id": pa.array(list(ids.values()), pa.int64()), "hex": pa.array([t.hex() for t in ids], pa.string())})
         self.bytes = np.array([ids[bytes([i])] for i in range(256)], np.int64)
+        self.spaced = np.zeros(max(ids.values()) + 1, bool)
+        self.spaced[[i for t, i in ids.items() if t.startswith(b" ")]] = True
 
     def _table(self, name: str, columns: dict) -> None:
         source = pa.table(columns)  # noqa: F841
@@ -138,36 +144,64 @@ class Codec:
                     heapq.heappush(heap, (r, left, pair))
         return [self.ranks[t] for t in toks if t is not None]
 
-    def spans_of(self, text: str) -> list[str]:
-        """The text cut where a piece begins whatever stands around: mostly words with their space."""
-        if _RUN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> pa.ListArray:
-        """Ids of texts. Spans repeat, so a span's ids are put together from its pieces once."""
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of texts (no nulls). A text is cut where a piece begins whatever stands around, mostly into
+        words with their space; such spans repeat, so a span's ids are put together from its pieces once."""
         if len(self.known.slot) > CACHE:
             self.known = Store()
         if len(self.spans.slot) > CACHE:
             self.spans = Store()
-        split = [self.spans_of(t) for t in texts]
-        new = list(set().union(*split).difference(self.spans.slot))
+        odd = np.asarray(pc.match_substring_regex(texts, _RUN))
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        # where no white space follows white space, every single space begins a span
+        words = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        coded = words.flatten().dictionary_encode()
+        codes, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        rows = np.asarray(words.value_lengths()).astype(np.int64)
+        head = np.zeros(len(codes), bool)
+        head[np.cumsum(rows) - rows] = True
+        at_head, later = (np.bincount(codes[x], minlength=len(names)) > 0 for x in (head, ~head))
+        others = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        first, spaced = [names[i] for i in np.flatnonzero(at_head)], [" " + names[i] for i in np.flatnonzero(later)]
+        self._learn_spans(list({*first, *spaced}.union(*others).difference(self.spans.slot)))
+        slots = np.empty((2, len(names)), np.int64)
+        slots[0, later], slots[1, at_head] = self.spans.slots(spaced), self.spans.slots(first)
+        rest = self.spans.slots(list(chain.from_iterable(others)))
+        counts, flat = self.spans.put(np.concatenate([slots[head.astype(np.int64), codes], rest]), np.concatenate([rows, np.fromiter(map(len, others), np.int64, len(others))]))
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+        return out.take(pa.array(np.argsort(order))) if len(others) else out
+
+    def _learn_spans(self, new: list[str]) -> None:
         cut = [self.pieces(s) for s in new]
         pieces = list(set().union(*cut).difference(self.known.slot))
         for i in range(0, len(pieces), 50_000):
             self._learn(pieces[i : i + 50_000])
         self.spans.add(new, *self.known.put_together(cut))
-        counts, flat = self.spans.put_together(split)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
 
     def decode(self, ids: pa.Array) -> pa.Array:
-        self.db.register("texts", pa.table({"doc": pa.array(range(len(ids)), pa.int64()), "ids": ids}))
-        got = self.db.sql(_DECODE).to_arrow_table()
-        out = [b""] * len(ids)
-        for k, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            out[k] = raw
-        return pa.array(out, pa.binary())
+        """Bytes of lists of ids; null lists are empty, ids that the vocabulary lacks have no bytes. Lists
+        are cut before ids that begin with a space, and each distinct run of ids is decoded once."""
+        lists = pc.fill_null(ids, pa.scalar([], ids.type))
+        flat = np.ascontiguousarray(np.asarray(lists.flatten()), np.int32)
+        ends = np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))
+        cut = self.spaced[np.clip(flat, 0, len(self.spaced) - 1)]
+        cut[::RUN] = True
+        cut[ends[ends < len(flat)]] = True
+        starts = np.append(np.flatnonzero(cut), len(flat))
+        buffers = [None, pa.py_buffer((4 * starts).astype(np.int32)), pa.py_buffer(flat)]
+        runs = pa.Array.from_buffers(pa.binary(), len(starts) - 1, buffers).dictionary_encode()
+        sizes = np.asarray(pc.binary_length(runs.dictionary)).astype(np.int64) // 4
+        own = np.frombuffer(runs.dictionary.buffers()[2], np.int32, int(sizes.sum()))
+        self.db.register("texts", pa.table({"doc": pa.array(np.arange(len(sizes))), "ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(own))}))
+        got = self.db.sql(_DECODE).to_arrow_table().combine_chunks()
+        place = np.full(len(sizes), -1)
+        place[np.asarray(got.column(0).combine_chunks())] = np.arange(got.num_rows)
+        raws = pc.fill_null(got.column(1).combine_chunks().cast(pa.binary()).take(pa.array(place, mask=place < 0)), b"")
+        every = raws.take(runs.indices)
+        upto = np.append(0, np.cumsum(np.asarray(pc.binary_length(every)).astype(np.int64)))
+        # the runs of a list lie side by side, and so do their bytes
+        bounds = upto[np.searchsorted(starts, np.append(0, ends))]
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), every.buffers()[2]])
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -186,7 +220,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, t
     Null texts count as empty and have no ids. Text that looks like a special token is ordinary text.
     A column of ``df`` named like ``ids`` is replaced.
     """
-    return _mapped(df.drop(ids), text, [(ids, "array<int>")], path, pattern, lambda own, values: [own.encode([t or "" for t in values.to_pylist()])])
+    return _mapped(df.drop(ids), text, [(ids, "array<int>")], path, pattern, lambda own, values: [own.encode(pc.fill_null(values, ""))])
 
 
 def decode(df: DataFrame, path: str | None = None, pattern: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -199,7 +233,7 @@ def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = Non
     """encode() and decode() of what it gave, in one pass and one worker for each task."""
 
     def both(own: Codec, values: pa.Array) -> list[pa.Array]:
-        tokens = own.encode([t or "" for t in values.to_pylist()])
+        tokens = own.encode(pc.fill_null(values, ""))
         return [tokens, own.decode(tokens)]
 
     return _mapped(df.drop(ids, out), text, [(ids, "array<int>"), (out, "binary")], path, pattern, both)
@@ -214,8 +248,7 @@ def _mapped(df: DataFrame, source: str, new: list[tuple[str, str]], path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
+            for batch in portions(whole, at, ROWS, SIZE):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(own, batch.column(at))], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +63,30 @@ class Store:
         self.size = np.concatenate([self.size, sizes])
         self.values = np.concatenate([self.values, values.astype(np.int32)])
 
-    def put_together(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of rows of stored strings: (ids of each row, all ids)."""
-        slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(rows)), np.int64)
+    def slots(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+
+    def put(self, slots: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows of stored strings: (ids of each row, all ids). ``rows`` has the strings of each row."""
         sizes = self.size[slots]
         ends = np.cumsum(sizes)
         flat = self.values[np.repeat(self.start[slots] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(rows)])]
         return np.diff(upto), flat
+
+    def put_together(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        return self.put(self.slots(list(chain.from_iterable(rows))), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+
+def portions(batch: pa.RecordBatch, at: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``rows`` rows whose column ``at`` holds ``size`` bytes (or list
+    elements) at most; a longer value is a piece of its own."""
+    column = batch.column(at)
+    lengths = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    ends = np.cumsum(np.asarray(lengths.fill_null(0)).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(first, last - first)
+        first = last
