@@ -21,13 +21,15 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Store, folder, shuffle_partitions, table, written
+from .common import Store, folder, portions, shuffle_partitions, table, written
 from .files import put, random_access
 
 MAGIC, VERSION = b"SFRANS", 1
@@ -222,68 +224,98 @@ class Reader:
             held, at = held[n:], at + n
 
 
-#: Words kept by a worker from one batch to the next, and words that one call of the library encodes.
-CACHE, CALL = 600_000, 2_000
+#: Parts of words kept by a worker from one batch to the next; rows and bytes of text taken at once.
+CACHE = 600_000
+ROWS, SIZE = 4_000, 8 << 20
+#: Latin-1 letters that composition and lower case treat one by one, and a run of them with signs after it.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_PARTS = f"^(?P<head>{_LETTERS})(?P<tail>[!-~]*)$"
 
 
 class Tokens:
     """Ids by a tokenizers file whose rules never join text across white space.
 
-    Texts are cut at ASCII white space; distinct words are encoded by the library, many in one text with
-    a special token between them (such a token cuts a text before any rule looks at it), and a text's
-    ids are those of its words in order. Words that hold a special token go alone.
+    Texts are cut at ASCII white space, and each distinct word goes through the library's own normalizer,
+    pre-tokenizer and model, one after the other; a text's ids are those of its words in order. Words
+    that may hold an added token, which the library looks for first, are encoded whole. A run of Latin-1
+    letters, with ASCII signs after it, is put together from the two parts where a probe says that the
+    file's rules make one piece of the letters and cut the signs off as if they stood alone.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
-        special = [(i, t.content) for i, t in self.own.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip and not t.single_word]
-        self.cut, self.mark = special[0] if special else (None, None)
-        self.odd = re.compile("[" + "".join(re.escape(c) for c in self.mark or "" if not c.isalnum()) + "]") if self.mark and not self.mark.isalnum() else None
-        # special tokens are looked for before normalising: texts that might hold one keep their case
-        lower = self.own.normalizer is not None and self.own.normalizer.normalize_str("A") == "a"
-        self.special = [t.content.lower() for t in self.own.get_added_tokens_decoder().values()] if lower else None
+        self.own = own = Tokenizer.from_file(path)
+        self.normal = own.normalizer.normalize_str if own.normalizer is not None else lambda text: text
+        self.cut = own.pre_tokenizer.pre_tokenize_str if own.pre_tokenizer is not None else lambda text: [(text, None)]
+        self.model = own.model.tokenize
+        # a character of each added token; a word without any of them holds none
+        added = [t.content for t in own.get_added_tokens_decoder().values() if t.content]
+        marks = {next((c for c in t if not c.isalnum()), t[0]) for t in added}
+        self.odd = re.compile("[" + "".join(map(re.escape, sorted(marks))) + "]", re.IGNORECASE) if marks else None
+        # what the rules make of each letter; a run of all of them must come out as one piece
+        letters = [chr(c) for c in range(256) if re.fullmatch(_LETTERS, chr(c))]
+        each = {c: self._by_rules(c) for c in letters}
+        self.letters = {ord(c): p[0] for c, p in each.items() if len(p) == 1}
+        self.probe = "".join(letters)
+        self.simple = not any(c.isalnum() for c in marks) and self._by_rules(self.probe) == [self.probe.translate(self.letters)]
+        self.lower = all(each[c] == each[c.lower()] for c in letters)
+        self._start()
+
+    def _start(self) -> None:
+        """Nothing known but a word's missing second part. Keys: letters; a tab and signs; a line feed and a word."""
         self.known = Store()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.own.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> None:
-        alone = [w for w in words if self.odd is None or self.odd.search(w)]
-        for w in alone:
-            ids = self._ids(w)
-            self.known.add([w], np.array([len(ids)]), np.array(ids, np.int64))
-        odd = set(alone)
-        rest = [w for w in words if w not in odd]
-        for i in range(0, len(rest), CALL):
-            part = rest[i : i + CALL]
-            ids = np.asarray(self._ids(self.mark.join(part)), np.int64)
-            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.cut), [len(ids)]])
-            self.known.add(part, np.diff(cuts) - 1, ids[ids != self.cut])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of each text, all ids)."""
-        split = [words_of(t, self.special) for t in texts]
+        self.known.add(["\t"], np.zeros(1, np.int64), np.zeros(0, np.int64))
+
+    def _by_rules(self, text: str) -> list[str]:
+        return [p for p, _ in self.cut(self.normal(text))]
+
+    def _ids(self, pieces: list[str]) -> list[int]:
+        return [t.id for p in pieces for t in self.model(p)]
+
+    def _learn(self, keys: list[str], ids: list[list[int]]) -> None:
+        self.known.add(keys, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int64))
+
+    def _heads(self, heads: list[str]) -> np.ndarray:
+        new = [h for h in heads if h not in self.known.slot]
+        self._learn(new, [self._ids([h if h.isascii() else h.translate(self.letters)]) for h in new] if self.lower else [self._ids([h.translate(self.letters)]) for h in new])
+        return self.known.slots(heads)
+
+    def _tails(self, tails: list[str]) -> np.ndarray:
+        """Slots of signs after letters; -1 if the rules don't cut before them or an added token may be there."""
+        probe = self.probe.translate(self.letters)
+        new = {t: self._by_rules(t) for t in tails if "\t" + t not in self.known.slot and not (self.odd and self.odd.search(t))}
+        fit = {t: p for t, p in new.items() if self._by_rules(self.probe + t) == [probe, *p]}
+        self._learn(["\t" + t for t in fit], [self._ids(p) for p in fit.values()])
+        return np.array([self.known.slot.get("\t" + t, -1) for t in tails], np.int64)
+
+    def _wholes(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if "\n" + w not in self.known.slot]
+        ids = [self.own.encode(w, add_special_tokens=False).ids if self.odd and self.odd.search(w) else self._ids(self._by_rules(w)) for w in new]
+        self._learn(["\n" + w for w in new], ids)
+        return self.known.slots(["\n" + w for w in words])
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """Two slots for each of some distinct words."""
+        out = np.zeros((len(words), 2), np.int64)
+        parts = pc.extract_regex(words, _PARTS)
+        fits = np.asarray(parts.is_valid()) & self.simple
+        tails = pc.struct_field(parts, "tail").filter(pa.array(fits)).dictionary_encode()
+        out[fits, 1] = self._tails(tails.dictionary.to_pylist())[np.asarray(tails.indices)] if fits.any() else 0
+        fits &= out[:, 1] >= 0
+        heads = pc.struct_field(parts, "head").filter(pa.array(fits))
+        heads = (pc.utf8_lower(heads) if self.lower else heads).dictionary_encode()
+        out[fits, 0] = self._heads(heads.dictionary.to_pylist())[np.asarray(heads.indices)] if fits.any() else 0
+        out[~fits, 0], out[~fits, 1] = self._wholes(words.filter(pa.array(~fits)).to_pylist()), 0
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids); no nulls."""
         if len(self.known.slot) > CACHE:
-            self.known = Store()
-        self._learn(list(set().union(*split).difference(self.known.slot)))
-        return self.known.put_together(split)
-
-
-_OTHER = re.compile("[\x1c-\x1f]")
-
-
-def words_of(text: str, special: list[str] | None) -> list[str]:
-    """The text cut at ASCII white space only: str.split() alone would also cut at separators that the
-    library sees to. ASCII text is lower-cased early where the library does so anyway (``special`` isn't
-    None) and no special token, in any case, is in it."""
-    if text.isascii() and not _OTHER.search(text):
-        low = text if special is None else text.lower()
-        return (text if special is None or any(x in low for x in special) else low).split()
-    for c in "\t\n\r\x0b\x0c":
-        text = text.replace(c, " ")
-    return text.split(" ")
+            self._start()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        return self.known.put(self._slots(coded.dictionary)[np.asarray(coded.indices)].ravel(), 2 * np.asarray(split.value_lengths()).astype(np.int64))
 
 
 _tokens: dict[str, Tokens] = {}
@@ -312,9 +344,8 @@ def token_ids(docs: DataFrame, path: str | None = None, end_id: int | None = END
         if path not in _tokens:
             _tokens[path] = Tokens(path)
         for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
-                counts, flat = _tokens[path].encode([t or "" for t in batch.column(1).to_pylist()])
+            for batch in portions(whole, 1, ROWS, SIZE):
+                counts, flat = _tokens[path].encode(pc.fill_null(batch.column(1), ""))
                 rows = [packed(np.concatenate([x, tail])) for x in np.split(flat, np.cumsum(counts)[:-1])] if batch.num_rows else []
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
