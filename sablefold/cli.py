@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import config as C
 from .functions.names import gazetteer
 from .operators import leak
-from .operators.mapping import extend, reverse
+from .operators.mapping import extend, merge, reverse
 from .operators.process import process_frames, restore_frames
 from .operators.restore import restore, restore_string
 from .patterns import NAMES, PRESETS
@@ -78,8 +78,10 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("action", choices=("list", "show"))
     s.add_argument("name", nargs="?")
     s = sub.add_parser("project")
-    s.add_argument("action", choices=("init", "status"))
+    s.add_argument("action", choices=("init", "add", "status"))
     s.add_argument("path")
+    s.add_argument("--from", dest="source")
+    s.add_argument("--passphrase")
     s = sub.add_parser("cleanup")
     s.add_argument("folder")
     s.add_argument("--older-than")
@@ -174,6 +176,13 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "project":
         if a.action == "init":
             mappings._private(a.path, b'{"version": "2.0", "mappings": []}')
+        elif a.action == "add":
+            if not a.source:
+                raise SystemExit("project add needs --from, a mapping file")
+            spark = _spark()
+            added = mappings.load(spark, a.source, a.passphrase)
+            now = merge(mappings.load(spark, a.path, a.passphrase), added) if os.path.exists(a.path) else added
+            mappings.save(written(now, "merged"), a.path, C.Config())
         else:
             made = mappings.created_at(a.path)
             print("no project" if made is None else f"{mappings.load(_spark(), a.path).count()} values")

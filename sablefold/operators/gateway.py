@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..functions.values import FRACTIONAL, INTEGRAL, as_text
 from ..plans.paths import bare, json_prune, parse
+from ..plans.planner import plan
 from ..work import written
 from . import mapping as M
+from .apply import apply
 from .restore import restore_string
 
 MAX_ROWS, MAX_CELL, MAX_TEXT = 100, 500, 1_000_000
@@ -169,16 +171,21 @@ class Gateway:
             raise GatewayError(f"{config.mode} leaves parts of originals visible and cannot be served")
 
     def add(self, name: str, df: DataFrame, policy: Policy | None = None) -> None:
-        from .process import process_frames
-
-        run = process_frames({name: df}, self.config, known=self.mapping)
-        policy, plan = policy or Policy(), run.plans[name]
-        blocked = tuple(dict.fromkeys([*policy.blocked, *[p for p, _ in plan.skipped]]))
-        policy = Policy(policy.keep, policy.keep_unmatched, blocked)
-        processed = {bare(t.path) for t in plan.targets}
-        shown = project(run.frames[name], policy, processed, self.config.json_columns)
-        self.datasets[name] = (written(shown.withColumn("__row", F.monotonically_increasing_id()), "gateway"), processed)
-        self.mapping = run.mapping if self.mapping is None else M.extend(self.mapping, run.mapping)
+        """Protect a dataset and keep its allowed part, rows in the order in which ``df`` gives them."""
+        config, policy = self.config.resolved(), policy or Policy()
+        # numbered before anything is joined, since joins change the order
+        rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "gateway-rows")
+        own = plan(df, config)
+        mapping = M.build({name: (rows, own.targets)}, config, self.mapping)
+        done = apply(rows, own.targets, mapping, name, redacting=config.mode == "redact")
+        blocked = tuple(dict.fromkeys([*policy.blocked, *[p for p, _ in own.skipped]]))
+        policy = Policy((*policy.keep, "__row"), policy.keep_unmatched, blocked)
+        processed = {bare(t.path) for t in own.targets}
+        shown = project(done, policy, processed, config.json_columns)
+        if shown.columns == ["__row"]:
+            raise GatewayError("the policy leaves no column")
+        self.datasets[name] = (written(shown, "gateway"), processed)
+        self.mapping = mapping if self.mapping is None else M.extend(self.mapping, mapping)
 
     def _frame(self, name: str) -> DataFrame:
         if name not in self.datasets:

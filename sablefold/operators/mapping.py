@@ -186,10 +186,10 @@ def _leftover(left: DataFrame, one: DataFrame, used: DataFrame) -> DataFrame:
     other = single.join(one.select("gen", "shape", F.col("original").alias("another")), ["gen", "shape"]).filter("another <> original").groupBy("gen", "shape", "original").agg(F.min("another").alias("replacement"))
     labels = single.join(other.select("gen", "shape"), ["gen", "shape"], "left_anti")
     labels = ranked(labels, [], [F.col("gen"), F.col("shape")], "at")
-    label = F.when(F.col("gen").isin("int", "real"), F.concat(F.repeat(F.lit("9"), 6), F.col("at").cast("string"))).otherwise(F.concat(F.col("gen"), F.lit("#F"), (F.col("at") + 1).cast("string")))
-    # a label may not repeat what the run or an earlier one has used
+    # numbers go on after all replacements of earlier runs, so a label never repeats one of theirs
+    number = (F.col("at") + 1 + F.lit(used.count())).cast("string")
+    label = F.when(F.col("gen").isin("int", "real"), F.concat(F.repeat(F.lit("9"), 6), number)).otherwise(F.concat(F.col("gen"), F.lit("#F"), number))
     labels = labels.select("gen", "shape", "original", label.alias("replacement"))
-    del used
     return cyclic.unionByName(other).unionByName(labels)
 
 

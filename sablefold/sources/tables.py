@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def read(spark: SparkSession, path: str, sheet_names: Iterable[str] | None = Non
             if "_corrupt_record" in df.columns:
                 raise ValueError("not a list of records")
             return df
-        except (PySparkException, ValueError) as e:
+        except (PySparkException, Py4JJavaError, ValueError) as e:  # a failed task may come through as it is
             raise ValueError(f"Failed to read {'JSON' if kind == 'json' else 'NDJSON'} file: {type(e).__name__}") from None
     xlsx.register(spark)
     load = lambda s: spark.read.format("xlsx").options(**({"sheet": s} if s else {})).load(path)
