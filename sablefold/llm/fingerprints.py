@@ -12,7 +12,7 @@ the longest common prefix and suffix to that step, and the likeness is their len
 text's. Equal texts have equal fingerprints and likeness 1.
 
 Scale: one shuffle of the texts. Rows are dealt into ranges of doc_id by quantile cut points (one
-number a range reaches the driver), each sorted range is streamed with one row of look-ahead, and
+number a range reaches the driver), a range is a partition and is streamed in order with one row of look-ahead, and
 the first row of each range is sent once more to the range before it.
 """
 
@@ -194,7 +194,7 @@ def with_next(docs: DataFrame, each, schema: T.StructType, range_rows: int = RAN
     own = rows.select(of("doc_id").alias("range"), F.lit(0).alias("tail"), "doc_id", "text")
     extra = rows.filter(heads | F.col("doc_id").isNull() if NO_ID in before else heads)
     extra = extra.select(owner("doc_id").alias("range"), F.lit(1).alias("tail"), "doc_id", "text")
-    dealt = own.unionByName(extra).repartition(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    dealt = own.unionByName(extra).repartitionById(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
     shape = to_arrow_schema(schema)
 
