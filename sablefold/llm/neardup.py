@@ -43,7 +43,7 @@ HASHES = TREES * DEPTH
 #: Least shared hash values of a region, and rows up to which a region is compared as a whole.
 LEAST, REGION = 2, 384
 #: Standard deviations of the signature's estimate by which a candidate may lie below the threshold.
-SLACK = 3.5
+SLACK = 4.5
 #: Shingles of a candidate component that one task takes, and hubs of a larger one.
 BULK = 3_000_000
 HUBS = 4
