@@ -20,7 +20,9 @@ a connected component of links; its name is its smallest doc_id.
    forest emitted it or not. Signatures skip pairs far below the threshold.
 5. Components of more than ``BULK`` shingles are dealt into chunks. The members most like the
    component's majority signature (its hubs) go to every chunk, and candidate pairs that still lie in
-   different groups afterwards are confirmed pair by pair. Chunks join through hubs and those pairs.
+   different groups afterwards are confirmed pair by pair. What is then left between groups comes from
+   an exact join on prefixes: shingles have one order, about rarest first, and a linked pair shares one
+   early enough in both sets that the rest can still hold the intersection it needs (``_across``).
 
 What is approximate: whether a candidate component contains a pair at all. A pair at similarity 0.85
 shares no region in any tree with probability below 1e-6; confirmation itself is exact.
@@ -48,6 +50,9 @@ SLACK = 4.5
 BULK = 3_000_000
 HUBS = 4
 
+#: Counters by which shingles of large components are put in order; the order decides the work, not the result.
+COUNTERS = 1 << 20
+
 #: Bits of the filter of members, at most; it lets some other documents pass, which the join then drops.
 FILTER_BITS = 1 << 27
 
@@ -346,6 +351,17 @@ def _hubs(large: DataFrame, sigs: DataFrame) -> DataFrame:
     return member.join(major, "root").select("root", "key", score.alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select("root", "key")
 
 
+def _own_texts(texts: DataFrame, k: int) -> DataFrame:
+    """Rows of ``texts`` (key, text) whose text has the set that the key names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = (batch.column(i).to_pylist() for i in range(2))
+            yield batch.filter(pa.array([_digest(shingles(t, k)) == key for key, t in zip(keys, texts, strict=True)], pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def _pairs(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The edges (a, b) that are links, confirmed on the texts of both ends, pair by pair."""
     left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
@@ -364,6 +380,111 @@ def _pairs(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return edges.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def pairs_across(n: np.ndarray, place: np.ndarray, group: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) of the rows of one shingle, by ascending set size ``n``, that lie in different groups and may
+    be links if this is the first shingle they share: what follows its ``place`` in both sets suffices."""
+    rest = n - place
+    for i in np.flatnonzero((den + num) * rest >= 2 * num * n).tolist():  # the smaller set of a pair
+        last = int(np.searchsorted(n, den * n[i] // num, side="right"))
+        other = slice(i + 1, last)
+        ok = (den + num) * np.minimum(rest[i], rest[other]) >= num * (n[i] + n[other])
+        ok &= np.any(group[other] != group[i], axis=1)
+        if ok.any():
+            yield i, np.flatnonzero(ok) + i + 1
+
+
+def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, ga, b, gb): every pair of ``texts`` (key, text) in different ``groups`` (key, group) that may be a link."""
+    counters = np.uint64(COUNTERS - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(held, (shingles(text, k) & counters).astype(np.int64), 1)
+        at = np.flatnonzero(held)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(held[at[i : i + (1 << 16)]])], names=["at", "n"])
+
+    seen = texts.select("text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNTERS, np.int64)
+    often[seen["at"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 200):
+                batch = whole.slice(first, 200)
+                row, hs, ns, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for r, text in enumerate(batch.column(2).to_pylist()):
+                    own = shingles(text, k)
+                    n = len(own)
+                    times = often[(own & counters).astype(np.int64)]
+                    order = np.lexsort((own, times))
+                    place = np.arange(n)
+                    # the smallest set that this one can be linked to, and shingles of more than one set
+                    use = ((den + num) * (n - place) >= num * (n + -(-num * n // den))) & (times[order] > 1)
+                    row.append(np.full(int(use.sum()), r))
+                    hs.append(own[order[use]])
+                    ns.append(np.full(int(use.sum()), n))
+                    places.append(place[use])
+                at = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(hs).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(ns)), pa.array(np.concatenate(places))],
+                    names=["h", "key", "group", "n", "place"],
+                )
+
+    own = texts.join(groups, "key", "left").select("key", F.coalesce("group", "key").alias("group"), "text")
+    rows = own.mapInArrow(prefixes, "h bigint, key binary, group binary, n bigint, place bigint")
+    rows = rows.repartition(max(shuffle_partitions(texts.sparkSession), 8), "h").sortWithinPartitions("h", "n", "key")
+    fixed = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 16)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            h, keys, groups, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            ends = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+            if not final:
+                ends = ends[:-1]  # the last shingle may go on
+            ids = groups.view(np.uint64)
+            left, right, size = [], [], 0
+            for at in np.flatnonzero(np.diff(ends) > 1).tolist():
+                a, b = int(ends[at]), int(ends[at + 1])
+                for i, js in pairs_across(n[a:b], place[a:b], ids[a:b], num, den):
+                    left.append(np.full(len(js), a + i))
+                    right.append(js + a)
+                    size += len(js)
+                    if size >= 1 << 16:
+                        yield pairs(keys, groups, left, right)
+                        left, right, size = [], [], 0
+            if size:
+                yield pairs(keys, groups, left, right)
+            rest = int(ends[-1])
+            held = [(h[rest:], keys[rest:], groups[rest:], n[rest:], place[rest:])] if rest < len(h) else []
+
+        def pairs(keys: np.ndarray, groups: np.ndarray, left: list, right: list) -> pa.RecordBatch:
+            i, j = np.concatenate(left), np.concatenate(right)
+            turn = np.fromiter((keys[x].tobytes() > keys[y].tobytes() for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            text = lambda m, at: pa.array([r.tobytes() for r in m[at]], pa.binary())
+            return pa.RecordBatch.from_arrays([text(keys, i), text(groups, i), text(keys, j), text(groups, j)], names=["a", "ga", "b", "gb"])
+
+        for batch in batches:
+            if batch.num_rows:
+                h, n, place = (np.asarray(batch.column(c)) for c in (0, 3, 4))
+                go_on = held and (held[-1][0][-1] == h[-1])  # one long list: put together only at its end
+                held.append((h, fixed(batch.column(1)), fixed(batch.column(2)), n, place))
+                if not go_on:
+                    yield from found(False)
+        if held:
+            yield from found(True)
+
+    return rows.mapInArrow(meet, "a binary, ga binary, b binary, gb binary").distinct()
+
+
 def _likely(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
     """Rows of ``docs`` whose doc_id may be one of ``members``: all of those and a few others."""
     bits = 1 << 16
@@ -421,7 +542,17 @@ def group_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         name = lambda c, r: groups.select(F.col("node").alias(c), F.col("root").alias(r))
         apart = edges.join(member.select(F.col("key").alias("a"), "root").join(hot.select("root"), "root", "left_semi").select("a"), "a", "left_semi")
         apart = apart.join(name("a", "ra"), "a", "left").join(name("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links = written(links.unionByName(_pairs(written(apart, "dedup-apart"), texts.select("key", "text").dropDuplicates(["key"]), k, num, den)), "dedup-all-links")
+        whole = written(_own_texts(texts.join(hot.select("root"), "root", "left_semi").select("key", "text"), k).dropDuplicates(["key"]), "dedup-hot-texts")
+        links = written(links.unionByName(_pairs(written(apart, "dedup-apart"), whole, k, num, den)), "dedup-all-links")
+        groups = components(links)
+        pairs = written(_across(whole, groups.select(F.col("node").alias("key"), F.col("root").alias("group")), k, num, den), "dedup-across")
+        # one pair of two groups first: a link there spares the others
+        one = pairs.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
+        links = written(links.unionByName(_pairs(one, whole, k, num, den)), "dedup-all-links")
+        groups = components(links)
+        apart = pairs.join(one, ["a", "b"], "left_anti").select("a", "b").join(name("a", "ra"), "a", "left").join(name("b", "rb"), "b", "left")
+        apart = apart.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        links = written(links.unionByName(_pairs(written(apart, "dedup-apart"), whole, k, num, den)), "dedup-all-links")
         groups = components(links)
     else:
         # links are stars around one member of each group already

@@ -75,6 +75,39 @@ def test_groups_equal_brute_force(spark, tmp_path, k, num):
     assert sorted(map(tuple, D.group_documents(docs, k, num, 100, bulk=6000).collect()), key=key) == want
 
 
+def test_links_across_chunks_of_a_passage_family(spark, tmp_path):
+    k, num = 5, 80
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(180)]
+    texts = []
+    for d in range(220):  # alike through the passage, below the threshold
+        tail = [f"t{d}x{i}" for i in range(40)]
+        texts.append(" ".join(passage + tail))
+        if d < 40:  # and a true near copy each
+            texts.append(" ".join(passage + tail[:30] + ["new"] + tail[31:]))
+    rng.shuffle(texts)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    docs = spark.read.parquet(documents(tmp_path, rows) + "/documents.parquet")
+    want = brute(rows, k, num, 100)
+    assert len({c for _, _, c in want}) == 220
+    assert sorted(map(tuple, D.group_documents(docs, k, num, 100, bulk=4000).collect())) == want
+
+
+def test_pairs_across_groups_hold_every_link():
+    rng = np.random.default_rng(4)
+    base = np.arange(40)
+    sets = [set(rng.choice(base, rng.integers(4, 36), replace=False).tolist()) | {100 + i} for i in range(150)]
+    order = {x: i for i, x in enumerate(sorted(set().union(*sets), key=lambda x: (sum(x in s for s in sets), x)))}
+    found = set()
+    for x in order:
+        rows = sorted((len(s), i, sorted(order[y] for y in s).index(order[x])) for i, s in enumerate(sets) if x in s)
+        n, who, place = (np.array(c) for c in zip(*rows, strict=True))
+        for i, js in D.pairs_across(n, place, who[:, None], 80, 100):
+            found |= {(min(who[i], who[j]), max(who[i], who[j])) for j in js}
+    links = {(i, j) for j in range(150) for i in range(j) if 180 * len(sets[i] & sets[j]) >= 80 * (len(sets[i]) + len(sets[j]))}
+    assert links and links <= found and len(found) < 150 * 149 // 4
+
+
 def test_query_columns_and_empty_tables(spark, tmp_path):
     assert D.op1_neardup(spark, documents(tmp_path, [])).collect() == []
     got = D.op1_neardup(spark, documents(tmp_path, [(2, "a b c d", "en", "s"), (1, "A b  c\nd", "en", "s"), (3, None, None, None)])).collect()
