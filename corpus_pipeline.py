@@ -15,9 +15,10 @@ from sablefold.llm.common import folder, table, written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that the labelled rows teach stay; those without a letter, and those that no
-    language's regression claims at all, go. A null lang takes the predicted one."""
+    language's regression claims (best margin 0 or less, a score of at most 0.5), go; a model of one
+    language claims every text with a letter. A null lang takes the predicted one."""
     found = language.predict(docs, language.fit(docs), "lang_pred_", "lang_score_")
-    kept = found.filter((F.col("lang_pred_") != language.UNKNOWN) & (F.col("lang_score_") > 0))
+    kept = found.filter((F.col("lang_pred_") != language.UNKNOWN) & (F.col("lang_score_") > 0.5))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred_")).select(*docs.columns)
 
 

@@ -1,5 +1,6 @@
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from sablefold.llm import language as L
@@ -56,3 +57,16 @@ def test_fit_is_bounded(spark, tmp_path):
     docs = spark.read.parquet(documents(tmp_path, rows(600)) + "/documents.parquet")
     labelled = docs.filter("lang is not null and text is not null and doc_id is not null")
     assert len(L._chosen(labelled, 60)) <= 60
+
+
+def test_pipeline_rejects_what_no_language_claims(spark, tmp_path):
+    junk = ["это русский текст о погоде и о городе", "これは日本語の文章です", "xq 9931 @@ ## k", "0x9f 0xbb 7788"]
+    known = rows()
+    docs = spark.read.parquet(documents(tmp_path, known + [(2000 + i, t, None, "s") for i, t in enumerate(junk)]) + "/documents.parquet")
+    model = L.fit(docs)
+    marks = model.landmarks().astype(np.float32)
+    margin = lambda t: max(model.scores(L.presence(t)[None], marks)[0])
+    want = [(d, t) for d, t, *_ in known if L.has_letter(t) and margin(t) > 0]
+    assert len(want) == sum(L.has_letter(r[1]) for r in known)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()), key=key) == sorted(want, key=key)
