@@ -7,10 +7,14 @@ bound reaches the query's k-th best lower bound so far, from its heap; survivors
 double precision on the original vectors and pushed on the heap. Nothing that could be among the k
 nearest is cut off, so the result equals brute force, ties included.
 
-Scale: queries are taken in blocks of at most about ``QUERIES`` (a hash of vec_id says which block),
-and a block, of bounded size, goes to all tasks; candidates are never shuffled or replicated. Each task keeps the
+Vectors are first divided by the power of two of their largest component. That changes no bit of a
+cosine where nothing under- or overflows, and keeps norms of components such as 1e-200 or 1e200 finite.
+
+Scale: queries are taken in blocks of about ``BLOCK_BYTES`` (a hash of vec_id says which block), whatever their
+dimension, and a block goes to all tasks; candidates are never shuffled or replicated. Each task keeps the
 heaps of one block and sends k rows a query; a window by query with a pushed-down group limit merges
-them. More queries mean more passes over the candidates, each with the same memory.
+them. More queries mean more passes over the candidates, each with the same memory: exact search costs
+queries times candidates, 2 * dimensions operations each (a core does about 2e10 a second).
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Queries of a block, about; QUERIES * dimensions * 13 bytes reach every task.
-QUERIES = 16_384
+#: Bytes of a block of queries, about: 8 for a component and 5 for its codes and products.
+BLOCK_BYTES, COMPONENT_BYTES = 32 << 20, 13
 #: Candidates and queries of a tile.
 TILE = 2_048
 TILE_QUERIES = 1_024
@@ -38,16 +42,24 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two that brings their largest component to 0.5 up to 1; exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise cosines of double vectors; the one definition of the result's score."""
+    """Row-wise cosines of double vectors that are scaled(); the one definition of the result's score."""
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
 class Quantised:
-    """int8 codes of unit vectors with scales, code norms and error norms."""
+    """int8 codes of scaled() vectors at unit length, with scales, code norms and error norms."""
 
     def __init__(self, x: np.ndarray) -> None:
-        unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        length = np.sqrt(np.einsum("ij,ij->i", x, x))
+        if not (np.isfinite(length) & (length > 0)).all():
+            raise ValueError("a vector without a finite direction")
+        unit = x / length[:, None]
         self.scale = np.abs(unit).max(axis=1) / 127.0
         self.codes = np.rint(unit / self.scale[:, None]).astype(np.int8)
         near = self.codes * self.scale[:, None]
@@ -95,24 +107,25 @@ def usable(vector: str) -> Column:
     return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block: int = BLOCK_BYTES) -> DataFrame:
     """The k rows of ``vectors`` (vec_id, embedding) nearest to each of ``queries`` (same columns).
 
     Returns query_id, rank (from 1), vec_id, score. Rows with a query's own vec_id are no candidates of
     it. Vectors that usable() rejects, and rows without an id, take no part; only vectors of the
-    query's dimension are compared with it. Of query rows with the same id the smallest vector is
-    taken; candidate rows that repeat an id each count. Fewer candidates than k give fewer rows.
+    query's dimension are compared with it. Every other finite vector takes part, however small or large its
+    components. Of query rows with the same id the smallest vector is taken; candidate rows that repeat an id each count. Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
     own = lambda df: df.filter(F.col("vec_id").isNotNull() & usable(vector)).select("vec_id", F.col(vector).cast("array<double>").alias("v"))
     asked = own(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = written(asked, "ann-queries")
-    passes = max(1, -(-asked.count() // block))
+    size = asked.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    passes = max(1, -(-size * COMPONENT_BYTES // block))
     candidates = own(vectors)
     found = None
     for at in range(passes):
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == at) if passes > 1 else asked
-        sent = spark.sparkContext.broadcast(_packed(part))  # at most about ``block`` queries
+        sent = spark.sparkContext.broadcast(_packed(part))  # about ``block`` bytes
         out = candidates.mapInArrow(_scan(sent, k), "query_id bigint, vec_id bigint, score double")
         if passes > 1:
             out = written(out, "ann-pass")
@@ -126,7 +139,7 @@ def _packed(part: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     by: dict[int, list] = {}
     for vec_id, v in part.sort("vec_id").toLocalIterator():
         by.setdefault(len(v), []).append((vec_id, v))
-    return {d: (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)) for d, rows in by.items()}
+    return {d: (np.array([r[0] for r in rows], np.int64), scaled(np.array([r[1] for r in rows], np.float64))) for d, rows in by.items()}
 
 
 def _scan(sent, k: int):
@@ -141,9 +154,9 @@ def _scan(sent, k: int):
                 if d not in by:
                     continue
                 rows = np.flatnonzero(lengths == d)
-                x = flat[(ends[rows] - d)[:, None] + np.arange(d)[None, :]]
                 for i in range(0, len(rows), TILE):
-                    _tile(by[d], ids[rows[i : i + TILE]], x[i : i + TILE])
+                    own = rows[i : i + TILE]
+                    _tile(by[d], ids[own], scaled(flat[(ends[own] - d)[:, None] + np.arange(d)[None, :]]))
         for ids, _, _, heaps in by.values():
             q, j = np.nonzero(heaps.score > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(heaps.id[q, j]), pa.array(heaps.score[q, j])], names=["query_id", "vec_id", "score"])
@@ -181,12 +194,15 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH e AS (
+WITH u AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+m AS (SELECT vec_id, v, pow(2.0, floor(log2(list_max(list_transform(v, lambda x: abs(x)))))) AS p FROM u),
+e AS (SELECT vec_id, list_transform(v, lambda x: x / p) AS v FROM m),
 n AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS l FROM e),
-q AS (SELECT vec_id, min(v) AS v FROM e WHERE vec_id % 50 = 0 GROUP BY vec_id),
+a AS (SELECT vec_id, min(v) AS v FROM u WHERE vec_id % 50 = 0 GROUP BY vec_id),
+q AS (SELECT vec_id, list_transform(v, lambda x: x / p) AS v FROM (SELECT *, pow(2.0, floor(log2(list_max(list_transform(v, lambda x: abs(x)))))) AS p FROM a)),
 s AS (
   SELECT q.vec_id AS query_id, n.vec_id,
     list_reduce(list_transform(list_zip(q.v, n.v), lambda p: p[1] * p[2]), lambda a, b: a + b)

@@ -34,7 +34,7 @@ def test_blocks_and_tiles_change_nothing(spark, tmp_path, monkeypatch):
     frame = spark.read.parquet(table(tmp_path, random_rows(300)) + "/embeddings.parquet")
     ask = frame.filter("vec_id % 3 = 0")
     whole = sorted(map(tuple, N.nearest(frame, ask, 4).collect()))
-    assert whole == sorted(map(tuple, N.nearest(frame, ask, 4, block=17).collect()))
+    assert whole == sorted(map(tuple, N.nearest(frame, ask, 4, block=17 * 16 * 13).collect()))
     by = {d: (np.array([0, 1]), x, N.Quantised(x), N.Heaps(2, 3)) for d, x in [(16, np.random.default_rng(1).normal(size=(2, 16)))]}
     monkeypatch.setattr(N, "TILE_QUERIES", 1)
     x = np.random.default_rng(2).normal(size=(40, 16))
@@ -44,6 +44,24 @@ def test_blocks_and_tiles_change_nothing(spark, tmp_path, monkeypatch):
     assert np.array_equal(by[16][3].id, np.argsort(-score, axis=1)[:, :3] + 10)
 
 
+def test_components_of_any_magnitude_take_part(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 8)) * 10.0 ** rng.choice([-310, -200, -20, 0, 20, 200, 300], 90)[:, None]
+    x[3], x[4] = 5e-324, 1.7e308
+    x[5] = [1e200, 1e-200, 0, 0, 0, 0, 0, 3e199]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in N.nearest(frame, frame.filter("vec_id % 10 = 0 or vec_id in (3, 4, 5)"), 4).collect())
+    unit = N.scaled(x)
+    want = []
+    for q in sorted({*range(0, 90, 10), 3, 4, 5}):
+        score = N.cosine(np.repeat(unit[q : q + 1], 90, axis=0), unit)
+        best = sorted((i for i in range(90) if i != q), key=lambda i: (-score[i], i))[:4]
+        want += [(q, r + 1, i, float(score[i])) for r, i in enumerate(best)]
+    assert got == want and len(got) == 48
+    with pytest.raises(ValueError):
+        N.Quantised(np.array([[1.0, np.inf]]))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(50, 33)), rng.exponential(size=(60, 33)) ** 4
