@@ -4,28 +4,34 @@ Links: two documents whose shingle sets have intersection / union of at least a
 a connected component of links; its name is its smallest doc_id.
 
 1. Every text gives its set (64-bit hashes of distinct word shingles, whole texts), a digest of the
-   set, and a MinHash signature. Documents with equal sets are one class; copies go no further.
+   set, and a MinHash signature. Documents with equal sets are one class; copies go no further. A class
+   is a node: its smallest doc_id in sortable bytes, then the digest; the least node of a group names it.
 2. LSH forest: ``TREES`` sorted orders, each by its own ``DEPTH`` hash values. All trees are one
    range-partitioned, sorted table. Rows that share at least ``LEAST`` values are a region; a region of
    at most ``REGION`` rows is compared at that depth, a denser one at the next depth, and so on
    (adaptive depth), rows that agree in everything in the order of the rest of their signatures, in
    windows. Neighbours in the sorted order, which share the longest prefixes, are compared as well.
    Comparing means signatures, in matrix form; pairs above a slack threshold become candidates, of
-   which a region emits a spanning forest, never all pairs.
+   which a region emits a spanning forest, never all pairs. The rows on both sides of a border between
+   partitions are compared once more, together.
 3. Connected components of the candidates (hash-to-min over edges, written each round).
 4. The texts of a candidate component meet once: a filter of fixed size (at most ``FILTER_BITS`` bits, by
-   hashed doc_id) keeps most other texts from moving at all. Inside, a breadth-first search confirms links exactly
+   hashed doc_id) keeps most other texts from moving at all. Inside, a breadth-first search confirms links
    on full sets: a pivot is compared with all members not yet reached, in one vector operation, so a
-   group around one original costs one pass, and any link inside the component is found, whether the
-   forest emitted it or not. Signatures skip pairs far below the threshold.
+   group around one original costs one pass. Signatures skip pairs far below the threshold there; what
+   they may have skipped between two groups comes from an exact prefix join of the component's own sets,
+   so every link inside a component is found.
 5. Components of more than ``BULK`` shingles are dealt into chunks. The members most like the
    component's majority signature (its hubs) go to every chunk, and candidate pairs that still lie in
-   different groups afterwards are confirmed pair by pair. What is then left between groups comes from
-   an exact join on prefixes: shingles have one order, about rarest first, and a linked pair shares one
-   early enough in both sets that the rest can still hold the intersection it needs (``_across``).
-
-What is approximate: whether a candidate component contains a pair at all. A pair at similarity 0.85
-shares no region in any tree with probability below 1e-6; confirmation itself is exact.
+   different groups afterwards are confirmed pair by pair.
+6. What is then left between the groups of a large component, and between the groups that meet in a
+   region of more than ``REGION`` rows, comes from an exact join on prefixes: shingles have one order, about
+   rarest first, and a linked pair shares one early enough in both sets that the rest can still hold the
+   intersection it needs (``_across``).
+
+What is approximate: a pair is missed only where it shares no two-value region in any tree (2.1e-7 at
+similarity 0.85, 4.7e-6 at 0.8), or where its signatures fall under the slack threshold and no other
+links or dense region join its ends (2.5e-5 and 2.1e-5). Links reported are exact.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table, written
@@ -44,6 +50,12 @@ TREES, DEPTH = 12, 6
 HASHES = TREES * DEPTH
 #: Least shared hash values of a region, and rows up to which a region is compared as a whole.
 LEAST, REGION = 2, 384
+#: Rows of one region held at once; a longer one is cut, with REGION rows on both sides of the cut.
+HELD = 1 << 16
+#: Parts into which the edges of one node, and the copies of one set, are dealt.
+SALTS = 16
+#: Bytes of a node: a flag (0, or 1 for a class without any id), the id with its sign turned, the set's digest.
+NODE = 25
 #: Standard deviations of the signature's estimate by which a candidate may lie below the threshold.
 SLACK = 4.5
 #: Shingles of a candidate component that one task takes, and hubs of a larger one.
@@ -118,7 +130,7 @@ def _digest(own: np.ndarray) -> bytes:
 
 def features(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, key (16-byte digest of the set; null for an empty one), sig (HASHES big-endian
-    32-bit values) of ``docs`` (doc_id, text)."""
+    32-bit values) and mark (a hash of the text) of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,9 +142,31 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                     n.append(len(own))
                     keys.append(_digest(own) if len(own) else None)
                     sigs.append(signature(own).astype(">u4").tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "key", "sig", "mark"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, sig binary, mark bigint")
+
+
+def _node(doc_id: Column, key: Column) -> Column:
+    """A class's node; nodes sort by id, those without one last."""
+    turned = F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.when(doc_id.isNull(), F.lit(bytearray(b"\x01"))).otherwise(F.lit(bytearray(b"\x00"))), F.unhex(turned), key)
+
+
+def _id(node: Column) -> Column:
+    """The doc_id that a node holds."""
+    turned = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", turned)
+
+
+def _salt(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, sig binary")
+
+def _salts(mask: Column) -> Column:
+    """The salts of a bit mask, a row each."""
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return F.explode(F.filter(every, lambda i: F.getbit(mask, i) == 1))
 
 
 def _floor(share: float) -> float:
@@ -190,68 +224,162 @@ def region_edges(labels: np.ndarray, bytes_: np.ndarray, least: float, depth: in
     return out
 
 
-def candidates(classes: DataFrame, least: float) -> DataFrame:
-    """Candidate edges (a, b) of ``classes`` (key, sig), a written table of distinct pairs, a < b."""
+def _regions(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """First rows of the regions of a sorted run, and its length."""
+    head = labels[:, : 4 * LEAST]
+    new = np.flatnonzero((trees[1:] != trees[:-1]) | np.any(head[1:] != head[:-1], axis=1)) + 1
+    return np.concatenate([[0], new, [len(trees)]])
+
+
+def _fixed(column: pa.Array, n: int) -> np.ndarray:
+    """Binary values of ``n`` bytes each as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n)
+
+
+def _raw(rows: np.ndarray) -> pa.Array:
+    """The reverse of _fixed()."""
+    return pa.Array.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+_FOUND = "kind int, a binary, b binary, part int, tree int, label binary, low binary"
+EDGE, BORDER, DENSE = 0, 1, 2
+
+
+class _Run:
+    """A sorted run of the forest's rows, and what is found in it."""
+
+    def __init__(self, least: float) -> None:
+        self.least, self.held, self.part, self.first = least, [], 0, True
+        #: whether the held rows begin inside a region that was cut
+        self.inside = False
+
+    def rows(self) -> int:
+        return sum(len(h[0]) for h in self.held)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.part = batch.column(0)[0].as_py()
+        self.held.append((np.asarray(batch.column(1)), _fixed(batch.column(2), 4 * DEPTH), _fixed(batch.column(3), HASHES), _fixed(batch.column(4), NODE)))
+
+    def close(self, final: bool, borders: bool = True) -> Iterator[pa.RecordBatch]:
+        """Edges, dense rows and border rows of what is held, but for a last region that may go on."""
+        trees, labels, lows, nodes = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        ends = _regions(trees, labels)
+        cut = False
+        if not final:
+            if len(ends) > 2:
+                ends = ends[:-1]
+            elif len(trees) < HELD:
+                self.held = [(trees, labels, lows, nodes)]
+                return
+            else:
+                cut = True
+        found, dense = [], []
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if b - a > 1:
+                found += [(a + x, a + y) for x, y in region_edges(labels[a:b].reshape(b - a, DEPTH, 4).view(">u4")[:, :, 0], lows[a:b], self.least)]
+            if b - a > REGION or (i == 0 and self.inside):
+                dense.append(np.arange(a, b))
+        if found:
+            pairs = np.array(found)
+            one, two = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+            differ = np.argmax(one != two, axis=1)
+            turn = np.take_along_axis(one, differ[:, None], 1) > np.take_along_axis(two, differ[:, None], 1)
+            yield self._batch(EDGE, _raw(np.where(turn, two, one)), _raw(np.where(turn, one, two)))
+        if dense:
+            at = np.concatenate(dense)
+            yield self._batch(DENSE, _raw(nodes[at]), tree=trees[at], label=labels[at, : 4 * LEAST])
+        if borders and self.first and self.part:
+            yield self._border(self.part - 1, trees[:REGION], labels[:REGION], lows[:REGION], nodes[:REGION])
+        if borders and final:
+            yield self._border(self.part, trees[-REGION:], labels[-REGION:], lows[-REGION:], nodes[-REGION:])
+        self.first = False
+        # a cut region's last rows are compared again with what follows
+        rest = int(ends[-1]) - (REGION if cut else 0)
+        self.inside = cut
+        self.held = [(trees[rest:], labels[rest:], lows[rest:], nodes[rest:])] if rest < len(trees) else []
+
+    def _border(self, part: int, trees: np.ndarray, labels: np.ndarray, lows: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        return self._batch(BORDER, _raw(nodes), part=part, tree=trees, label=labels, low=_raw(lows))
+
+    @staticmethod
+    def _batch(kind: int, a: pa.Array, b: pa.Array | None = None, part: int = 0, tree: np.ndarray | None = None, label: np.ndarray | None = None, low: pa.Array | None = None) -> pa.RecordBatch:
+        n = len(a)
+        none = pa.nulls(n, pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind, np.int32)), a, none if b is None else b, pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.int32()) if tree is None else pa.array(tree.astype(np.int32)), none if label is None else _raw(label), none if low is None else low],
+            names=["kind", "a", "b", "part", "tree", "label", "low"],
+        )
+
+
+def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges (a, b) of ``classes`` (node, sig), a written table of distinct pairs, a < b; and
+    (tree, label, node) of the rows in regions of more than REGION rows."""
     spark = classes.sparkSession
     size = 4 * DEPTH
     # the lowest byte of each value stands for it where signatures are compared
     low = F.concat(*[F.substring("sig", 4 * i + 4, 1) for i in range(HASHES)])
-    rows = classes.select("key", "sig", low.alias("low"))
-    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * size + 1, size).alias("label")) for t in range(TREES)])).alias("at"), "key", "low")
-    rows = rows.select("at.tree", "at.label", "key", "low")
-    order = ["tree", "label", "low", "key"]
-    parts = max(shuffle_partitions(spark), 8)
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def edges(final: bool) -> pa.RecordBatch | None:
-            nonlocal held
-            trees, labels, keys, lows = (np.concatenate(x) for x in zip(*held, strict=True))
-            head = labels[:, : 4 * LEAST]
-            new = np.flatnonzero((trees[1:] != trees[:-1]) | np.any(head[1:] != head[:-1], axis=1)) + 1
-            ends = [0, *new.tolist(), len(trees)]
-            if not final:
-                # the last region may go on; a very long one is cut
-                if len(ends) > 2:
-                    ends = ends[:-1]
-                elif len(trees) < 1 << 16:
-                    return None
-            sizes = np.diff(ends)
-            found = [(a + i, a + j) for a, n in zip(np.asarray(ends)[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True) for i, j in region_edges(labels[a : a + n].reshape(n, DEPTH, 4).view(">u4")[:, :, 0], lows[a : a + n], least)]
-            rest = ends[-1]
-            held = [(trees[rest:], labels[rest:], keys[rest:], lows[rest:])] if rest < len(trees) else []
-            one = [min(keys[i].tobytes(), keys[j].tobytes()) for i, j in found]
-            two = [max(keys[i].tobytes(), keys[j].tobytes()) for i, j in found]
-            return pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], names=["a", "b"])
-
-        fixed = lambda c, n: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, n)
+    rows = classes.select("node", "sig", low.alias("low"))
+    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * size + 1, size).alias("label")) for t in range(TREES)])).alias("at"), "node", "low")
+    rows = rows.select("at.tree", "at.label", "low", "node")
+    order = ["tree", "label", "low", "node"]
+    # a partition holds many times REGION rows, so a region that a border cuts lies in two partitions or is dense
+    parts = max(1, min(max(shuffle_partitions(spark), 8), TREES * classes.count() // (16 * REGION)))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), *order)
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = _Run(least)
         for batch in batches:
             if batch.num_rows:
-                held.append((np.asarray(batch.column(0)), fixed(batch.column(1), size), fixed(batch.column(2), 16), fixed(batch.column(3), HASHES)))
-                if sum(len(h[0]) for h in held) >= 1 << 14 and (out := edges(False)) is not None:
-                    yield out
-        if held:
-            yield edges(True)
-
-    return written(rows.mapInArrow(run, "a binary, b binary").distinct(), "dedup-candidates")
+                run.add(batch)
+                if run.rows() >= 1 << 14:
+                    yield from run.close(False)
+        if run.held:
+            yield from run.close(True)
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = None
+        for whole in batches:
+            parts = np.asarray(whole.column(0))
+            for piece in np.split(np.arange(len(parts)), np.flatnonzero(parts[1:] != parts[:-1]) + 1):
+                if len(piece):
+                    if run is not None and run.part != parts[piece[0]]:
+                        yield from run.close(True, False)
+                        run = None
+                    run = run or _Run(least)
+                    run.add(whole.slice(int(piece[0]), len(piece)))
+        if run is not None:
+            yield from run.close(True, False)
+
+    found = written(rows.mapInArrow(forest, _FOUND), "dedup-forest")
+    edge = found.filter(F.col("kind") == BORDER).select("part", *order[:3], F.col("a").alias("node"))
+    edge = edge.repartition(max(1, min(parts, shuffle_partitions(spark))), "part").sortWithinPartitions("part", *order)
+    found = found.filter(F.col("kind") != BORDER).unionByName(written(edge.mapInArrow(borders, _FOUND), "dedup-borders"))
+    edges = written(found.filter(F.col("kind") == EDGE).select("a", "b").distinct(), "dedup-candidates")
+    return edges, found.filter(F.col("kind") == DENSE).select("tree", "label", F.col("a").alias("node"))
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """(a, salt, m) for ``rows`` (a, b, salt): the least b of each a, once for each salt that a has."""
+    some = rows.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    whole = some.groupBy("a").agg(F.min("m").alias("m"), F.bit_or(F.expr("shiftleft(1, salt)")).alias("mask"))
+    return whole.select("a", "m", _salts(F.col("mask")).alias("salt"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the smallest node. Alternates large and
-    small stars until nothing changes; each round is a written table, sums and minima are partial before
-    every shuffle, and nodes of any degree are aggregated, never gathered."""
+    small stars until nothing changes; each round is a written table, minima are partial before every
+    shuffle, and the edges of a node are dealt by SALTS, so a node of any degree is spread over tasks."""
     now = edges.select("a", "b").filter("a <> b")
     last = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("salt", _salt(F.col("b")))
+        low = _least(both).select("a", "salt", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(low, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # each a now points at smaller nodes; they and a itself turn to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        large = large.withColumn("salt", _salt(F.col("b")))
+        least = _least(large)
+        small = large.join(least, ["a", "salt"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = written(now, "dedup-round")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
@@ -266,7 +394,8 @@ def _linked(n: int, m: int, both: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def links_within(sets: list[np.ndarray], sigs: np.ndarray, num: int, den: int, least: float) -> list[int]:
-    """Group number (index of a member) of each set: connected components of exact links among all pairs."""
+    """Group number (index of a member) of each set: connected components of the links among all pairs, all
+    of them. Signatures (lowest bytes) put the search in order and skip pairs; ``_links_left`` makes up for it."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -286,50 +415,92 @@ def links_within(sets: list[np.ndarray], sigs: np.ndarray, num: int, den: int, l
             if not len(left):
                 break
             n = sizes[i]
-            near = (num * np.maximum(sizes[left], n) <= den * np.minimum(sizes[left], n)) & ((((sigs[left] == sigs[i]).mean(axis=1)) - 1 / 256) / (1 - 1 / 256) >= least)
+            near = num * np.maximum(sizes[left], n) <= den * np.minimum(sizes[left], n)
+            if count > 8:
+                near &= ((sigs[left] == sigs[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least
             left = left[near]
             if not len(left):
                 continue
-            lengths = sizes[left]
-            ends = np.cumsum(lengths)
-            at = np.repeat(starts[left] - np.concatenate([[0], ends[:-1]]), lengths) + np.arange(ends[-1])
-            mine, values = sets[i], flat[at]
-            where = np.minimum(np.searchsorted(mine, values), n - 1)
-            hits = np.add.reduceat((mine[where] == values).astype(np.int64), np.concatenate([[0], ends[:-1]]))
-            new = left[_linked(n, lengths, hits, num, den)]
+            new = left[_links_of(i, left, flat, starts, sizes, num, den)]
             group[new] = root
             queue += new.tolist()
+    if count > 8 and (group != group[0]).any():
+        _links_left(group, flat, starts, sizes, num, den)
     return group.tolist()
 
 
+def _links_of(i: int, others: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of ``others`` are links of set i; sets lie sorted in ``flat``."""
+    n, lengths = sizes[i], sizes[others]
+    ends = np.cumsum(lengths)
+    before = ends - lengths
+    mine, values = flat[starts[i] : starts[i] + n], flat[np.repeat(starts[others] - before, lengths) + np.arange(ends[-1])]
+    where = np.minimum(np.searchsorted(mine, values), n - 1)
+    hits = np.add.reduceat((mine[where] == values).astype(np.int64), before)
+    return _linked(n, lengths, hits, num, den)
+
+
+def _links_left(group: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> None:
+    """Join the groups between which a link is left, by the prefix join of pairs_across(). Changes ``group``."""
+    count = len(sizes)
+    _, codes, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(count), sizes)
+    order = np.lexsort((codes, times[codes], owner))
+    codes, place = codes[order], np.arange(len(flat)) - starts[owner]
+    n = sizes[owner]
+    use = ((den + num) * (n - place) >= num * (n + -(-num * n // den))) & (times[codes] > 1)
+    owner, codes, place = owner[use], codes[use], place[use]
+    order = np.lexsort((owner, sizes[owner], codes))
+    owner, codes, place = owner[order], codes[order], place[order]
+    if not len(codes):
+        return
+    first = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+    several = np.minimum.reduceat(group[owner], first) != np.maximum.reduceat(group[owner], first)
+    seen: set[int] = set()
+    for a, b in zip(first[several].tolist(), np.append(first, len(codes))[1:][several].tolist(), strict=True):
+        own = owner[a:b]
+        for i, js in pairs_across(sizes[own], place[a:b], group[own][:, None], num, den):
+            one = int(own[i])
+            new = np.array([j for j in own[js].tolist() if group[j] != group[one] and one * count + j not in seen], np.int64)
+            if len(new):
+                seen.update((one * count + new).tolist())
+                for j in new[_links_of(one, new, flat, starts, sizes, num, den)].tolist():
+                    group[group == group[j]] = group[one]
+
+
 def _confirm(rows: DataFrame, k: int, num: int, den: int, least: float) -> DataFrame:
-    """Star edges (a, b) of the exact groups inside each (root, chunk) of ``rows`` (root, chunk, key, text)."""
-    dealt = rows.select("root", "chunk", "key", "text").repartition(max(shuffle_partitions(rows.sparkSession), 8), "root", "chunk").sortWithinPartitions("root", "chunk", "key")
+    """Star edges (a, b) of the exact groups inside each (root, chunk) of ``rows`` (root, chunk, node, text): each
+    node of a group with the least one."""
+    dealt = rows.select("root", "chunk", "node", "text").repartition(max(shuffle_partitions(rows.sparkSession), 8), "root", "chunk").sortWithinPartitions("root", "chunk", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, sets = None, [], []
+        at, nodes, sets = None, [], []
 
         def close() -> tuple[list, list]:
             # a class may have come in more than once
             sigs = np.stack([(signature(s) & np.uint32(255)).astype(np.uint8) for s in sets])
+            first: dict[int, bytes] = {}
             got = links_within(sets, sigs, num, den, least)
-            return [keys[i] for i, g in enumerate(got) if keys[i] != keys[g]], [keys[g] for i, g in enumerate(got) if keys[i] != keys[g]]
+            for node, g in zip(nodes, got, strict=True):  # in order
+                first.setdefault(g, node)
+            pairs = [(node, first[g]) for node, g in zip(nodes, got, strict=True) if node != first[g]]
+            return [a for a, _ in pairs], [b for _, b in pairs]
 
         for batch in batches:
             one, two = [], []
             roots, chunks, names, texts = (batch.column(i).to_pylist() for i in range(4))
-            for here, key, text in zip(zip(roots, chunks, strict=True), names, texts, strict=True):
+            for here, node, text in zip(zip(roots, chunks, strict=True), names, texts, strict=True):
                 if here != at:
                     if len(sets) > 1:
                         a, b = close()
                         one += a
                         two += b
-                    at, keys, sets = here, [], []
-                if keys and keys[-1] == key:
+                    at, nodes, sets = here, [], []
+                if nodes and nodes[-1] == node:
                     continue
                 own = shingles(text, k)
-                if len(own) and _digest(own) == key:
-                    keys.append(key)
+                if len(own) and _digest(own) == node[-16:]:
+                    nodes.append(node)
                     sets.append(own)
             if one:
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], names=["a", "b"])
@@ -341,30 +512,30 @@ def _confirm(rows: DataFrame, k: int, num: int, den: int, least: float) -> DataF
 
 
 def _hubs(large: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(root, key) of the HUBS members of each large component that agree most with its majority signature."""
-    member = large.join(sigs, "key")
-    bits = member.select("root", "key", F.posexplode(F.array(*[F.substring("sig", 4 * i + 1, 4) for i in range(HASHES)])).alias("at", "value"))
+    """(root, node) of the HUBS members of each large component that agree most with its majority signature."""
+    member = large.join(sigs, "node")
+    bits = member.select("root", "node", F.posexplode(F.array(*[F.substring("sig", 4 * i + 1, 4) for i in range(HASHES)])).alias("at", "value"))
     votes = bits.groupBy("root", "at", "value").agg(F.count(F.lit(1)).alias("n"))
     major = votes.groupBy("root", "at").agg(F.max(F.struct("n", "value")).alias("top")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("top.value").alias("value")))).alias("major"))
     score = sum((F.element_at("major", F.lit(i)) == F.substring("sig", 4 * i + 1, 4)).cast("int") for i in range(HASHES))
-    best = Window.partitionBy("root").orderBy(F.col("score").desc(), "key")
-    return member.join(major, "root").select("root", "key", score.alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select("root", "key")
+    best = Window.partitionBy("root").orderBy(F.col("score").desc(), "node")
+    return member.join(major, "root").select("root", "node", score.alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select("root", "node")
 
 
 def _own_texts(texts: DataFrame, k: int) -> DataFrame:
-    """Rows of ``texts`` (key, text) whose text has the set that the key names."""
+    """Rows of ``texts`` (node, text) whose text has the set that the node names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = (batch.column(i).to_pylist() for i in range(2))
-            yield batch.filter(pa.array([_digest(shingles(t, k)) == key for key, t in zip(keys, texts, strict=True)], pa.bool_()))
+            nodes, texts = (batch.column(i).to_pylist() for i in range(2))
+            yield batch.filter(pa.array([_digest(shingles(t, k)) == node[-16:] for node, t in zip(nodes, texts, strict=True)], pa.bool_()))
 
     return texts.mapInArrow(run, texts.schema)
 
 
 def _pairs(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The edges (a, b) that are links, confirmed on the texts of both ends, pair by pair."""
-    left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +565,7 @@ def pairs_across(n: np.ndarray, place: np.ndarray, group: np.ndarray, num: int,
 
 
 def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, ga, b, gb): every pair of ``texts`` (key, text) in different ``groups`` (key, group) that may be a link."""
+    """(a, ga, b, gb): every pair of ``texts`` (node, text) in different ``groups`` (node, group) that may be a link."""
     counters = np.uint64(COUNTERS - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,13 +603,12 @@ def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) ->
                 at = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(hs).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(ns)), pa.array(np.concatenate(places))],
-                    names=["h", "key", "group", "n", "place"],
+                    names=["h", "node", "group", "n", "place"],
                 )
 
-    own = texts.join(groups, "key", "left").select("key", F.coalesce("group", "key").alias("group"), "text")
-    rows = own.mapInArrow(prefixes, "h bigint, key binary, group binary, n bigint, place bigint")
-    rows = rows.repartition(max(shuffle_partitions(texts.sparkSession), 8), "h").sortWithinPartitions("h", "n", "key")
-    fixed = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 16)
+    own = texts.join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"), "text")
+    rows = own.mapInArrow(prefixes, "h bigint, node binary, group binary, n bigint, place bigint")
+    rows = rows.repartition(max(shuffle_partitions(texts.sparkSession), 8), "h").sortWithinPartitions("h", "n", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -449,11 +619,10 @@ def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) ->
             ends = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             if not final:
                 ends = ends[:-1]  # the last shingle may go on
-            ids = groups.view(np.uint64)
             left, right, size = [], [], 0
             for at in np.flatnonzero(np.diff(ends) > 1).tolist():
                 a, b = int(ends[at]), int(ends[at + 1])
-                for i, js in pairs_across(n[a:b], place[a:b], ids[a:b], num, den):
+                for i, js in pairs_across(n[a:b], place[a:b], groups[a:b], num, den):
                     left.append(np.full(len(js), a + i))
                     right.append(js + a)
                     size += len(js)
@@ -476,7 +645,7 @@ def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) ->
             if batch.num_rows:
                 h, n, place = (np.asarray(batch.column(c)) for c in (0, 3, 4))
                 go_on = held and (held[-1][0][-1] == h[-1])  # one long list: put together only at its end
-                held.append((h, fixed(batch.column(1)), fixed(batch.column(2)), n, place))
+                held.append((h, _fixed(batch.column(1), NODE), _fixed(batch.column(2), NODE), n, place))
                 if not go_on:
                     yield from found(False)
         if held:
@@ -511,57 +680,93 @@ def group_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     have no shingles and no links. Rows with a null doc_id may link others; a group without any id has
     component_id null. Rows that repeat an id with other texts are grouped by their texts.
     """
+    return _grouped(docs, k, num, den, bulk).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, bulk: int = BULK) -> DataFrame:
+    """group_documents() with the set's key, the text's mark, and whether the set is the least of its group."""
     least = _floor(num / den)
     docs = docs.select("doc_id", "text")
-    marked = written(features(docs, k), "dedup-features")
-    classes = marked.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "sig")).alias("first"))
-    classes = written(classes.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.n_shingles").alias("n"), F.col("first.sig").alias("sig")), "dedup-classes")
-    edges = candidates(classes, least)
-    member = written(components(edges).join(classes.select(F.col("key").alias("node"), "doc_id", "n"), "node").select("root", F.col("node").alias("key"), "doc_id", "n"), "dedup-members")
+    marked = written(features(docs, k), "dedup-features").withColumn("salt", _salt(F.struct("doc_id", "mark")))
+    # copies of one set are dealt by salt here and where they come back
+    some = marked.filter(F.col("key").isNotNull()).groupBy("key", "salt").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("n_shingles").alias("n"), "sig")).alias("first"))
+    classes = some.groupBy("key").agg(F.min("first").alias("first"), F.bit_or(F.expr("shiftleft(1, salt)")).alias("mask"))
+    classes = written(classes.select(_node(F.col("first.doc_id"), F.col("key")).alias("node"), "mask", F.col("first.n").alias("n"), F.col("first.sig").alias("sig")), "dedup-classes")
+    edges, dense = candidates(classes, least)
+    member = written(components(edges).join(classes.select("node", "n"), "node").select("root", "node", _id(F.col("node")).alias("doc_id"), "n"), "dedup-members")
     sums = member.groupBy("root").agg(F.sum("n").alias("bulk")).filter(F.col("bulk") > bulk)
     hot = written(sums.select("root", F.ceil(F.col("bulk") / bulk).cast("int").alias("chunks")), "dedup-hot")
-    placed = member.select("root", "key", "doc_id", F.lit(0).alias("chunk"))
+    placed = member.select("root", "node", "doc_id", F.lit(0).alias("chunk"))
     any_hot = hot.limit(1).count() > 0
     if any_hot:
         large = member.join(hot, "root")
-        usual = member.join(hot.select("root"), "root", "left_anti").select("root", "key", "doc_id", F.lit(0).alias("chunk"))
-        dealt = large.select("root", "key", "doc_id", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"))
-        hubs = _hubs(large.select("root", "key"), classes.select("key", "sig")).join(member, ["root", "key"]).join(hot, "root")
-        hubs = hubs.select("root", "key", "doc_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        usual = member.join(hot.select("root"), "root", "left_anti").select("root", "node", "doc_id", F.lit(0).alias("chunk"))
+        dealt = large.select("root", "node", "doc_id", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+        hubs = _hubs(large.select("root", "node"), classes.select("node", "sig")).join(member, ["root", "node"]).join(hot, "root")
+        hubs = hubs.select("root", "node", "doc_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         placed = written(usual.unionByName(dealt).unionByName(hubs), "dedup-placed")
-    # texts of members only; a text's own digest says which of several rows with an id is meant
-    texts = _likely(docs, member, member.count()).join(placed, "doc_id").select("root", "chunk", "key", "text")
-    none = placed.filter(F.col("doc_id").isNull())
-    if none.limit(1).count():
-        # classes without any id: their text is found by its set
-        lost = marked_texts(docs.filter(F.col("doc_id").isNull()), k).join(none.drop("doc_id"), "key").select("root", "chunk", "key", "text")
-        texts = texts.unionByName(lost)
-    links = written(_confirm(texts, k, num, den, least), "dedup-links")
+    links = written(_confirm(_texts(docs, placed, member.count(), k), k, num, den, least), "dedup-links")
+    # every node of a group is linked with its least one already
+    name = lambda c, r: links.select(F.col("a").alias(c), F.col("b").alias(r))
     if any_hot:
-        groups = components(links)
-        name = lambda c, r: groups.select(F.col("node").alias(c), F.col("root").alias(r))
-        apart = edges.join(member.select(F.col("key").alias("a"), "root").join(hot.select("root"), "root", "left_semi").select("a"), "a", "left_semi")
-        apart = apart.join(name("a", "ra"), "a", "left").join(name("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        whole = written(_own_texts(texts.join(hot.select("root"), "root", "left_semi").select("key", "text"), k).dropDuplicates(["key"]), "dedup-hot-texts")
-        links = written(links.unionByName(_pairs(written(apart, "dedup-apart"), whole, k, num, den)), "dedup-all-links")
-        groups = components(links)
-        pairs = written(_across(whole, groups.select(F.col("node").alias("key"), F.col("root").alias("group")), k, num, den), "dedup-across")
-        # one pair of two groups first: a link there spares the others
-        one = pairs.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
-        links = written(links.unionByName(_pairs(one, whole, k, num, den)), "dedup-all-links")
-        groups = components(links)
-        apart = pairs.join(one, ["a", "b"], "left_anti").select("a", "b").join(name("a", "ra"), "a", "left").join(name("b", "rb"), "b", "left")
-        apart = apart.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links = written(links.unionByName(_pairs(written(apart, "dedup-apart"), whole, k, num, den)), "dedup-all-links")
-        groups = components(links)
-    else:
-        # links are stars around one member of each group already
-        ends = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-        groups = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(ends)
-    named = classes.select("key", "doc_id").join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_key = named.join(smallest, "root").select("key", "component_id")
-    return marked.select("doc_id", "n_shingles", "key").join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        own = member.join(hot.select("root"), "root", "left_semi").select("node")
+        links = components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        apart = _between(edges.join(own.select(F.col("node").alias("a")), "a", "left_semi"), name)
+        whole = _whole(docs, own, k)
+        links = _joined(links, _pairs(written(apart, "dedup-apart"), whole, k, num, den))
+        links = _across_groups(links, whole, k, num, den)
+    # groups that meet in a dense region
+    grouped = dense.join(name("node", "group"), "node", "left").select("tree", "label", "node", F.coalesce("group", "node").alias("group"))
+    mixed = grouped.groupBy("tree", "label").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("tree", "label")
+    own = written(grouped.join(mixed, ["tree", "label"], "left_semi").select("node").distinct(), "dedup-dense")
+    if own.limit(1).count():
+        links = _across_groups(links, _whole(docs, own, k), k, num, den)
+    named = classes.select("node", "mask").join(name("node", "root"), "node", "left").select("node", "mask", F.coalesce("root", "node").alias("root"))
+    by_key = named.select(F.substring("node", 10, 16).alias("key"), _salts(F.col("mask")).alias("salt"), _id(F.col("root")).alias("component_id"), (F.col("root") == F.col("node")).alias("head"))
+    out = marked.join(by_key, ["key", "salt"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "mark", "head")
+
+
+def _texts(docs: DataFrame, placed: DataFrame, count: int, k: int) -> DataFrame:
+    """(root, chunk, node, text) of ``placed`` (root, chunk, node, doc_id): rows of its ids, among which a text's
+    own digest says which is meant; classes without any id are found by their sets."""
+    texts = _likely(docs, placed, count).join(placed, "doc_id").select("root", "chunk", "node", "text")
+    none = placed.filter(F.col("doc_id").isNull()).select("root", "chunk", "node", F.substring("node", 10, 16).alias("key"))
+    if none.limit(1).count():
+        texts = texts.unionByName(marked_texts(docs.filter(F.col("doc_id").isNull()), k).join(none, "key").select("root", "chunk", "node", "text"))
+    return texts
+
+
+def _whole(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, text), one written row of each of ``nodes`` (node)."""
+    placed = nodes.select(F.lit(None).cast("binary").alias("root"), F.lit(0).alias("chunk"), "node", _id(F.col("node")).alias("doc_id"))
+    texts = _own_texts(_texts(docs, placed, nodes.count(), k).select("node", "text"), k)
+    return written(texts.groupBy("node").agg(F.min("text").alias("text")), "dedup-texts")
+
+
+def _between(pairs: DataFrame, name) -> DataFrame:
+    """The ``pairs`` (a, b) whose ends lie in different groups."""
+    apart = pairs.join(name("a", "ra"), "a", "left").join(name("b", "rb"), "b", "left")
+    return apart.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _joined(links: DataFrame, more: DataFrame) -> DataFrame:
+    """``links`` and ``more`` as stars around the least node of each group."""
+    groups = components(links.unionByName(more))
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _across_groups(links: DataFrame, whole: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``links`` (node, least node of its group) and all links between its groups in ``whole`` (node, text)."""
+    pairs = written(_across(whole, links.select(F.col("a").alias("node"), F.col("b").alias("group")), k, num, den), "dedup-across")
+    if not pairs.limit(1).count():
+        return links
+    # one pair of two groups first: a link there spares the others
+    one = pairs.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
+    links = _joined(links, _pairs(one, whole, k, num, den))
+    name = lambda c, r: links.select(F.col("a").alias(c), F.col("b").alias(r))
+    apart = written(_between(pairs.join(one, ["a", "b"], "left_anti").select("a", "b"), name), "dedup-apart")
+    return _joined(links, _pairs(apart, whole, k, num, den)) if apart.limit(1).count() else links
 
 
 def marked_texts(docs: DataFrame, k: int) -> DataFrame:
@@ -577,15 +782,25 @@ def marked_texts(docs: DataFrame, k: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id; of rows
-    that repeat this id one is kept. Rows without shingles, and those whose group has no id, stay."""
-    groups = group_documents(docs, k, num, den)
-    kept = groups.filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("doc_id", (F.col("n_shingles") > 0).alias("full")).distinct()
-    rows = docs.join(kept.select(F.col("doc_id").alias("dedup_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("dedup_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each group of near duplicates, one with the smallest doc_id (of a group
+    without any id, one of its rows); of rows that repeat this id one is kept. Rows without shingles stay,
+    all of them."""
+    groups = _grouped(docs, k, num, den)
+    heads = groups.filter(F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("key", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    heads = heads.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "rows")).alias("head"))
+    kept = written(heads.select(F.col("head.doc_id").alias("__dedup_id"), F.col("head.mark").alias("__dedup_mark"), F.col("head.rows").alias("__dedup_rows")), "dedup-kept")
+    full = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(full).join(kept, F.col("doc_id").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64("text") == F.col("__dedup_mark")))
+    out = rows.select(*docs.columns)
+    if kept.filter("__dedup_rows > 1").limit(1).count():
+        # the same text under the same id several times
+        again = rows.filter("__dedup_rows > 1").dropDuplicates(["__dedup_id", "__dedup_mark"]).select(*docs.columns)
+        out = rows.filter("__dedup_rows = 1").select(*docs.columns).unionByName(again)
+    return out.unionByName(docs.filter(~full))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups of every row of ``documents``: 3-word shingles, similarity 0.85."""
+    """Near-duplicate groups of every row of ``documents``: 3-word shingles, similarity 0.85. A row without
+    an id is kept only where its whole group has none."""
     out = group_documents(table(spark, sf_dir, "documents"), 3, 85, 100)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -144,3 +144,97 @@ def test_search_inside_a_component_equals_all_pairs():
                 a, b = group[i], group[j]
                 group = [b if g == a else g for g in group]
     assert len(set(zip(got, group, strict=True))) == len(set(got)) == len(set(group))
+
+
+def test_dense_regions_lose_no_link(spark, tmp_path):
+    k, num = 3, 85
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(90)]
+    texts = []
+    for d in range(700):  # one passage in more rows than a region compares, alike at 0.6
+        tail = [f"t{d}x{i}" for i in range(30)]
+        texts.append(" ".join(passage + tail))
+        if d < 60:  # near copies from 0.85 to 0.95
+            own = passage + tail
+            texts.append(edited(rng, own[:110], 1 if d % 2 else 2) + " " + " ".join(own[110:]))
+    rng.shuffle(texts)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    docs = spark.read.parquet(documents(tmp_path, rows) + "/documents.parquet")
+    assert sorted(map(tuple, D.group_documents(docs, k, num, 100).collect())) == sorted(brute(rows, k, num, 100))
+
+
+def test_borders_and_cuts_lose_no_region(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "REGION", 12)
+    monkeypatch.setattr(D, "HELD", 64)
+    rng = np.random.default_rng(3)
+    rows = []
+    for region, size in enumerate([1, 5, 12, 11, 150, 3, 12, 40, 2, 9, 12]):
+        base = rng.integers(0, 256, D.HASHES)
+        for i in range(size):
+            low = np.where(rng.random(D.HASHES) < 0.1, rng.integers(0, 256, D.HASHES), base).astype(np.uint8)
+            label = np.concatenate([[region] * D.LEAST, rng.integers(0, 3, D.DEPTH - D.LEAST)]).astype(">u4")
+            rows.append((0, label.tobytes(), low.tobytes(), b"\0" + region.to_bytes(4, "big") + i.to_bytes(20, "big")))
+    rows.sort()
+    columns = list(zip(*rows, strict=True))
+    batch = lambda part, a, b: pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(columns[0][a:b], pa.int32()), *[pa.array(c[a:b], pa.binary()) for c in columns[1:]]], names=["part", "tree", "label", "low", "node"])
+    cuts = [0, 33, 60, 130, 200, len(rows)]
+    found = []
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        run = D._Run(0.6)
+        for i in range(a, b, 10):
+            run.add(batch(part, i, min(i + 10, b)))
+            found += list(run.close(False))
+        if run.held:
+            found += list(run.close(True))
+    found = pa.Table.from_batches(found).to_pylist()
+    borders = sorted((r for r in found if r["kind"] == D.BORDER), key=lambda r: (r["part"], r["tree"], r["label"], r["low"], r["a"]))
+    for part in sorted({r["part"] for r in borders}):
+        own = [r for r in borders if r["part"] == part]
+        run = D._Run(0.6)
+        run.add(pa.RecordBatch.from_arrays([pa.array([r["part"] for r in own], pa.int32()), pa.array([r["tree"] for r in own], pa.int32()), *[pa.array([r[c] for r in own], pa.binary()) for c in ("label", "low", "a")]], names=["part", "tree", "label", "low", "node"]))
+        found += pa.Table.from_batches(run.close(True, False)).to_pylist()
+    root = {r[3]: r[3] for r in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        if r["kind"] == D.EDGE:
+            assert r["a"] < r["b"]
+            root[top(r["b"])] = top(r["a"])
+    dense = {r["a"] for r in found if r["kind"] == D.DENSE}
+    for region in range(11):
+        own = [r[3] for r in rows if r[3][1:5] == region.to_bytes(4, "big")]
+        # a small region is one group; all rows of a larger one are told
+        assert len({top(x) for x in own}) == 1 if len(own) <= 12 else dense.issuperset(own)
+
+
+def test_rows_without_id(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long, "en", "s"), (None, long, "en", "s"), (None, "only null ids have this text", "en", "s"), (None, "only null ids have this text", "en", "t"), (None, "", "en", "s"), (None, None, "en", "s"), (7, "", "en", "s"), (7, "", "en", "s")]
+    d = documents(tmp_path, rows)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in D.op1_neardup(spark, d).collect()), key=str)
+    want = [(5, 38, 5, True), (None, 38, 5, False), (None, 4, None, True), (None, 4, None, True), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 0, 7, True)]
+    assert got == sorted(want, key=str)
+    kept = D.deduplicate(spark.read.parquet(d + "/documents.parquet"), 3, 85, 100).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, long), (None, "only null ids have this text"), (None, ""), (None, None), (7, ""), (7, "")], key=str)
+
+
+def test_links_that_signatures_skip_are_found():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 2**63, 150, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: len(base) - k], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in rng.integers(0, 30, 80)]
+    sigs = rng.integers(0, 256, (80, D.HASHES)).astype(np.uint8)  # say nothing
+    group = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    got = D.links_within(sets, sigs, 85, 100, 0.5)
+    assert len(set(zip(got, group, strict=True))) == len(set(got)) == len(set(group)) > 1
