@@ -242,6 +242,7 @@ def _raw(rows: np.ndarray) -> pa.Array:
 
 
 _FOUND = "kind int, a binary, b binary, part int, tree int, label binary, low binary"
+#: Kinds of rows that the forest makes; DENSE says that there is a region of more than REGION rows.
 EDGE, BORDER, DENSE = 0, 1, 2
 
 
@@ -249,9 +250,7 @@ class _Run:
     """A sorted run of the forest's rows, and what is found in it."""
 
     def __init__(self, least: float) -> None:
-        self.least, self.held, self.part, self.first = least, [], 0, True
-        #: whether the held rows begin inside a region that was cut
-        self.inside = False
+        self.least, self.held, self.part, self.first, self.dense = least, [], 0, True, False
 
     def rows(self) -> int:
         return sum(len(h[0]) for h in self.held)
@@ -261,7 +260,7 @@ class _Run:
         self.held.append((np.asarray(batch.column(1)), _fixed(batch.column(2), 4 * DEPTH), _fixed(batch.column(3), HASHES), _fixed(batch.column(4), NODE)))
 
     def close(self, final: bool, borders: bool = True) -> Iterator[pa.RecordBatch]:
-        """Edges, dense rows and border rows of what is held, but for a last region that may go on."""
+        """Edges and border rows of what is held, but for a last region that may go on."""
         trees, labels, lows, nodes = (np.concatenate(x) for x in zip(*self.held, strict=True))
         ends = _regions(trees, labels)
         cut = False
@@ -273,29 +272,29 @@ class _Run:
                 return
             else:
                 cut = True
-        found, dense = [], []
-        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        found = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if b - a > 1:
                 found += [(a + x, a + y) for x, y in region_edges(labels[a:b].reshape(b - a, DEPTH, 4).view(">u4")[:, :, 0], lows[a:b], self.least)]
-            if b - a > REGION or (i == 0 and self.inside):
-                dense.append(np.arange(a, b))
+            if b - a > REGION and not self.dense:
+                self.dense = True
+                yield self._batch(DENSE, _raw(nodes[a : a + 1]))
         if found:
             pairs = np.array(found)
             one, two = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
             differ = np.argmax(one != two, axis=1)
             turn = np.take_along_axis(one, differ[:, None], 1) > np.take_along_axis(two, differ[:, None], 1)
             yield self._batch(EDGE, _raw(np.where(turn, two, one)), _raw(np.where(turn, one, two)))
-        if dense:
-            at = np.concatenate(dense)
-            yield self._batch(DENSE, _raw(nodes[at]), tree=trees[at], label=labels[at, : 4 * LEAST])
+        # of the first and the last region, what lies at the border
         if borders and self.first and self.part:
-            yield self._border(self.part - 1, trees[:REGION], labels[:REGION], lows[:REGION], nodes[:REGION])
+            own = slice(0, min(int(ends[1]), REGION))
+            yield self._border(self.part - 1, trees[own], labels[own], lows[own], nodes[own])
         if borders and final:
-            yield self._border(self.part, trees[-REGION:], labels[-REGION:], lows[-REGION:], nodes[-REGION:])
+            own = slice(max(int(ends[-2]), len(trees) - REGION), len(trees))
+            yield self._border(self.part, trees[own], labels[own], lows[own], nodes[own])
         self.first = False
         # a cut region's last rows are compared again with what follows
         rest = int(ends[-1]) - (REGION if cut else 0)
-        self.inside = cut
         self.held = [(trees[rest:], labels[rest:], lows[rest:], nodes[rest:])] if rest < len(trees) else []
 
     def _border(self, part: int, trees: np.ndarray, labels: np.ndarray, lows: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
@@ -311,9 +310,9 @@ class _Run:
         )
 
 
-def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, bool]:
     """Candidate edges (a, b) of ``classes`` (node, sig), a written table of distinct pairs, a < b; and
-    (tree, label, node) of the rows in regions of more than REGION rows."""
+    whether there are regions of more than REGION rows."""
     spark = classes.sparkSession
     size = 4 * DEPTH
     # the lowest byte of each value stands for it where signatures are compared
@@ -355,7 +354,18 @@ def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     edge = edge.repartition(max(1, min(parts, shuffle_partitions(spark))), "part").sortWithinPartitions("part", *order)
     found = found.filter(F.col("kind") != BORDER).unionByName(written(edge.mapInArrow(borders, _FOUND), "dedup-borders"))
     edges = written(found.filter(F.col("kind") == EDGE).select("a", "b").distinct(), "dedup-candidates")
-    return edges, found.filter(F.col("kind") == DENSE).select("tree", "label", F.col("a").alias("node"))
+    return edges, found.filter(F.col("kind") == DENSE).limit(1).count() > 0
+
+
+def _mixed(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes of ``classes`` (node, sig) in regions of more than REGION rows where several groups meet, and a few
+    others. ``links`` (a, b) names the groups. Regions go by hashes; one row a region is what is shuffled."""
+    rows = classes.join(links.select(F.col("a").alias("node"), "b"), "node", "left")
+    hashes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * 4 * DEPTH + 1, 4 * LEAST)) for t in range(TREES)])
+    rows = rows.select("node", F.xxhash64(F.coalesce("b", "node")).alias("group"), hashes.alias("regions"))
+    met = rows.select(F.explode("regions").alias("region"), "group").groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+    met = written(met.filter((F.col("n") > REGION) & (F.col("low") != F.col("high"))).select("region"), "dedup-regions")
+    return rows.filter(_filter(met, "region", met.count())(F.col("regions"))).select("node")
 
 
 def _least(rows: DataFrame) -> DataFrame:
@@ -654,23 +664,32 @@ def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) ->
     return rows.mapInArrow(meet, "a binary, ga binary, b binary, gb binary").distinct()
 
 
-def _likely(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be one of ``members``: all of those and a few others."""
+def _filter(values: DataFrame, value: str, count: int):
+    """A function that says of an array of longs whether one of them may be among ``values``: a bit for each
+    value's low bits, at most FILTER_BITS, broadcast."""
     bits = 1 << 16
     while bits < min(16 * count, FILTER_BITS):
         bits *= 2
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
-    words = members.filter(F.col("doc_id").isNotNull()).select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toPandas()
+    place = F.col(value).bitwiseAND(F.lit(bits - 1))
+    words = values.filter(F.col(value).isNotNull()).select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toPandas()
     table = np.zeros(bits // 64, np.int64)
     table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = values.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def may(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(np.int64)
-        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
+        if not len(at):
+            return pd.Series([], dtype=bool)
+        x = np.stack(at.to_numpy()).astype(np.int64) & (bits - 1)
+        return pd.Series(((sent.value[x >> 6] >> (x & 63)) & 1 == 1).any(axis=1))
 
-    return docs.filter(F.col("doc_id").isNotNull()).filter(may(place))
+    return may
+
+
+def _likely(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be one of ``members``: all of those and a few others."""
+    ids = members.filter(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("at"))
+    return docs.filter(F.col("doc_id").isNotNull()).filter(_filter(ids, "at", count)(F.array(F.xxhash64("doc_id"))))
 
 
 def group_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bulk: int = BULK) -> DataFrame:
@@ -715,11 +734,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, bulk: int = BULK) -> D
         whole = _whole(docs, own, k)
         links = _joined(links, _pairs(written(apart, "dedup-apart"), whole, k, num, den))
         links = _across_groups(links, whole, k, num, den)
-    # groups that meet in a dense region
-    grouped = dense.join(name("node", "group"), "node", "left").select("tree", "label", "node", F.coalesce("group", "node").alias("group"))
-    mixed = grouped.groupBy("tree", "label").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("tree", "label")
-    own = written(grouped.join(mixed, ["tree", "label"], "left_semi").select("node").distinct(), "dedup-dense")
-    if own.limit(1).count():
+    if dense and (own := written(_mixed(classes, links), "dedup-mixed")).limit(1).count():
         links = _across_groups(links, _whole(docs, own, k), k, num, den)
     named = classes.select("node", "mask").join(name("node", "root"), "node", "left").select("node", "mask", F.coalesce("root", "node").alias("root"))
     by_key = named.select(F.substring("node", 10, 16).alias("key"), _salts(F.col("mask")).alias("salt"), _id(F.col("root")).alias("component_id"), (F.col("root") == F.col("node")).alias("head"))
