@@ -1,6 +1,6 @@
 """Sharding by Hilbert-curve order, for files that prune on several metadata columns at once.
 
-Size, source and language of a document are quantised into equal-count cells, the cells' point on
+Size, source and language of a document (names by rank of the whole value) are quantised into equal-count cells, the cells' point on
 a Hilbert curve is the sort key, and the sorted table is cut into runs of equal row counts (law
 ``rows``: counts at most one apart). Neighbours on the curve are close in every dimension, so each
 shard covers a small box of all three and its minima and maxima prune on any of them.
@@ -29,6 +29,8 @@ from .common import shuffle_partitions, table, written
 #: Bits of each dimension; a curve over three dimensions of 2**BITS cells.
 BITS = 5
 SHARDS = 16
+#: Parts into which the copies of one text are dealt where they meet their group.
+SALTS = 16
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -60,10 +62,18 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(name: Column) -> Column:
-    """A number that sorts as the first seven bytes of a string; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def ranks(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """(name, rank) of each distinct value of a string column, by whole values: how many rows hold a lesser one.
+
+    Values are counted first; ``parts`` ranges of them are sorted and summed on their own, and one row a
+    range says what lies before it.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    runs = written(counts.repartitionByRange(parts, "name").select(F.spark_partition_id().alias("part"), "name", "n"), "shard-names")
+    own = Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = runs.groupBy("part").agg(F.sum("n").alias("rows")).select("part", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("base"))
+    return runs.join(bases, "part").select("name", (F.col("base") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("rank"))
 
 
 def curve(dims: list[Column], cuts: list[list[float]], bits: int = BITS) -> Column:
@@ -103,14 +113,21 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataF
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.substring(F.unhex(F.md5(text.cast("binary"))), 1, 12).alias("digest"),
-        ordinal(F.col("source")).alias("source"),
-        ordinal(F.col("lang")).alias("lang"),
+        "source",
+        "lang",
     )
-    narrow = written(narrow, "shard-keys")
+    narrow = written(narrow.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "shard-keys")
+    for column in ("source", "lang"):
+        found = written(ranks(narrow, column, shuffle_partitions(spark)), "shard-ranks").withColumnsRenamed({"name": column, "rank": f"{column}_rank"})
+        narrow = narrow.join(found, column, "left").withColumn(column, F.coalesce(f"{column}_rank", F.lit(-1).cast("long"))).drop(f"{column}_rank")
+    narrow = written(narrow, "shard-ranked")
     cuts = quantiles(narrow, [F.col("size"), F.col("source"), F.col("lang")], bits)
     # the copies of a text share the cell of the copy with the smallest id; texts that occur once don't enter the join
-    groups = narrow.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "source", "lang")).alias("first")).filter("n > 1")
-    keyed = narrow.join(groups.select("digest", "size", "first"), ["digest", "size"], "left")
+    some = narrow.groupBy("digest", "size", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "source", "lang")).alias("first"))
+    groups = some.groupBy("digest", "size").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.bit_or(F.expr("shiftleft(1, salt)")).alias("mask")).filter("n > 1")
+    # a group's row for each salt that it has, so the copies of a text meet it in several tasks
+    groups = groups.select("digest", "size", "first", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("mask"), i) == 1)).alias("salt"))
+    keyed = narrow.join(groups, ["digest", "size", "salt"], "left")
     dims = [F.col("size"), F.coalesce("first.source", "source"), F.coalesce("first.lang", "lang")]
     keyed = keyed.select("doc_id", "size", "text_crc32", "digest", curve(dims, cuts, bits).alias("curve"))
     keyed = written(keyed, "shard-curve")

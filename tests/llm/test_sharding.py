@@ -61,3 +61,13 @@ def test_shards_prune_on_each_dimension(spark, tmp_path):
 
     cut, unsorted = boxes(lambda r: r.shard), boxes(lambda r: r.doc_id * 2654435761 % 2**32 * 16 >> 32)
     assert all(a < b for a, b in zip(cut, unsorted, strict=True)) and np.prod(cut) < np.prod(unsorted) / 4
+
+
+def test_names_are_ranked_by_their_whole_value(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", f"common-crawl-snapshot-{'abcd'[i % 4]}") for i in range(400)] + [(1000, "x", "en", None)]
+    docs = spark.read.parquet(documents(tmp_path, rows) + "/documents.parquet")
+    assert sorted(map(tuple, sharding.ranks(docs, "source", 3).collect())) == [(f"common-crawl-snapshot-{c}", 100 * i) for i, c in enumerate("abcd")]
+    source, by = {r[0]: r[3] for r in rows}, {}
+    for r in sharding.op3_sharding(spark, str(tmp_path)).collect():
+        by.setdefault(r.shard, set()).add(source[r.doc_id])
+    assert np.mean([len(v) for v in by.values()]) < 2
