@@ -5,19 +5,24 @@ of code point j times BASE**j, modulo two primes. Any span's hash is a differenc
 span equality is O(1) and the longest common extension of two positions is a binary search over
 prefix equality (PrefixHashes). All of it is vectorised: one multiplication, one running sum.
 
-A fingerprint is a sample of the array: the text's length, its whole hash, and the hashes of its
+A fingerprint is a sample of the array: the text's length, its whole hash, and the residues of its
 prefixes and suffixes at up to ``POINTS`` multiples of a power of two. Two fingerprints compare
-alone: they share the coarser step's points, prefix equality is monotone, so a binary search finds
-the longest common prefix and suffix to that step, and the likeness is their length over the longer
-text's. Equal texts have equal fingerprints and likeness 1.
-
-Scale: one shuffle of the texts. Rows are dealt into ranges of doc_id by quantile cut points (one
-number a range reaches the driver), a range is a partition and is streamed in order with one row of look-ahead, and
-the first row of each range is sent once more to the range before it.
+alone. They share the coarser step's points, and a difference of two residues is the hash of the span
+between them, so a binary search from any shared point finds how far both texts agree from there
+(``extension_at``): the common head, every agreeing run inside, and, over the suffixes, the same from the
+end. The likeness is the share of the longer text that those runs cover. Equal texts have equal
+fingerprints and likeness 1. A run inside is seen if it holds a whole step and lies as far from the
+beginning, or from the end, of one text as of the other.
+
+Scale: one shuffle of the texts. Rows are dealt into ranges of doc_id by quantile cut points (two
+numbers a range reach the driver, 16 bytes for RANGE_ROWS rows), a range is a partition and is streamed in order with
+one row of look-ahead, and the first row of each range is sent once more to the range before it. Rows that repeat one
+id lie in one range, streamed by one task.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -109,51 +114,90 @@ def step_of(n: int, most: int = POINTS) -> int:
 
 
 def fingerprint(text: str) -> str:
-    """``length:whole:prefixes:suffixes``; hashes in hexadecimal, the whole one of both primes."""
+    """``length:whole:prefixes:suffixes``: the whole hash in hexadecimal, residues of both primes in base 64."""
     h = PrefixHashes(text)
     n, step = h.n, step_of(h.n)
     at = np.arange(step, n + 1, step)
     whole = f"{int(h.sums[0][n]):08x}{int(h.sums[1][n]):08x}"
-    prefix = _mixed(h.sums[0][at], h.sums[1][at])
     # a suffix's hash with its first point at weight 1 doesn't depend on where it starts
     inverse = [powers(2 + k, n + 1)[n - at] for k in range(2)]
     tails = [(h.sums[k][n] + np.uint64(PRIMES[k]) - h.sums[k][n - at]) % np.uint64(PRIMES[k]) * inverse[k] % np.uint64(PRIMES[k]) for k in range(2)]
-    return f"{n}:{whole}:{prefix}:{_mixed(*tails)}"
+    return f"{n}:{whole}:{_packed([s[at] for s in h.sums])}:{_packed(tails)}"
+
+
+def _packed(residues: list[np.ndarray]) -> str:
+    return base64.b64encode(np.stack(residues, axis=1).astype("<u4").tobytes()).decode("ascii")
+
+
+class Points:
+    """Residues of a fingerprint's prefixes (or suffixes) at multiples of its step, from 0."""
 
+    def __init__(self, packed: str, step: int) -> None:
+        self.step = step
+        own = np.frombuffer(base64.b64decode(packed), "<u4").reshape(-1, 2).astype(np.int64)
+        self.at = np.concatenate([np.zeros((1, 2), np.int64), own])
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> str:
-    """Eight hexadecimal digits a point, from both hashes."""
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
-    return mixed.astype(">u4").tobytes().hex()
+    def every(self, step: int) -> np.ndarray:
+        return self.at[:: step // self.step]
 
 
-def _common(a: str, b: str, step_a: int, step_b: int, longest: int) -> int:
-    """Most code points up to ``longest`` that two point lists share, in multiples of the coarser step."""
-    step = max(step_a, step_b)
-    point = lambda s, own, i: s[8 * (i * step // own - 1) : 8 * (i * step // own)]
-    low, high = 0, longest // step
+def _spans(one: np.ndarray, two: np.ndarray, suffixes: bool, step: int) -> np.ndarray:
+    """Which steps hold the same span, by the differences of neighbouring points."""
+    n = min(len(one), len(two)) - 1
+    a, b = one[: n + 1], two[: n + 1]
+    out = np.ones(n, bool)
+    for k, p in enumerate(PRIMES):
+        # a suffix's points weigh BASE**step more in the next longer one
+        factor = pow(BASES[k], step, p) if suffixes else 1
+        out &= (a[1:, k] - a[:-1, k] * factor) % p == (b[1:, k] - b[:-1, k] * factor) % p
+    return out
+
+
+def extension_at(agree: np.ndarray, i: int) -> int:
+    """Steps by which two texts agree from point i on, by binary search."""
+    low, high = 0, len(agree) - i
     while low < high:
         mid = (low + high + 1) // 2
-        if point(a, step_a, mid) == point(b, step_b, mid):
+        if agree[i : i + mid].all():
             low = mid
         else:
             high = mid - 1
-    return low * step
+    return low
+
+
+def _runs(agree: np.ndarray) -> list[tuple[int, int]]:
+    out, i = [], 0
+    while i < len(agree):
+        n = extension_at(agree, i)
+        if n:
+            out.append((i, i + n))
+        i += n + 1
+    return out
 
 
 def likeness(one: str, two: str) -> float:
-    """Share of the longer text that the common prefix and suffix of two fingerprints cover, 0 to 1."""
+    """Share of the longer text that the runs which two fingerprints have in common cover, 0 to 1."""
     if one == two:
         return 1.0
-    n, whole_n, prefix_n, suffix_n = one.split(":")
-    m, whole_m, prefix_m, suffix_m = two.split(":")
+    n, _, prefix_n, suffix_n = one.split(":")
+    m, _, prefix_m, suffix_m = two.split(":")
     a, b = int(n), int(m)
     shorter, longer = min(a, b), max(a, b)
     if not shorter:
         return 0.0
-    head = _common(prefix_n, prefix_m, step_of(a), step_of(b), shorter)
-    tail = _common(suffix_n, suffix_m, step_of(a), step_of(b), shorter)
-    return min(head + tail, shorter) / longer
+    steps = step_of(a), step_of(b)
+    step = max(steps)
+    covered: list[tuple[int, int]] = []
+    for suffixes, x, y in ((False, prefix_n, prefix_m), (True, suffix_n, suffix_m)):
+        agree = _spans(Points(x, steps[0]).every(step), Points(y, steps[1]).every(step), suffixes, step)
+        if agree.any():
+            # places in the longer text
+            covered += [(longer - j * step, longer - i * step) if suffixes else (i * step, j * step) for i, j in _runs(agree)]
+    total = end = 0
+    for i, j in sorted(covered):
+        total += max(0, j - max(i, end))
+        end = max(end, j)
+    return min(total, shorter) / longer
 
 
 def edited(text: str, following: str) -> str:
@@ -185,15 +229,18 @@ def with_next(docs: DataFrame, each, schema: T.StructType, range_rows: int = RAN
     firsts = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")).collect())
     # the first row of a range is also the row that follows the range before it
     before = {first: (firsts[i - 1][0] if i else firsts[-1][0]) for i, (_, first) in enumerate(firsts)}
-    heads = F.col("doc_id").isin([h for h in before if h != NO_ID])
+    heads = np.array(sorted(before), np.int64)
+    owners = np.array([before[h] for h in heads.tolist()], np.int32)
 
     @F.pandas_udf("int")
     def owner(ids: pd.Series) -> pd.Series:
-        return ids.fillna(NO_ID).astype(np.int64).map(before).astype(np.int32)
+        # the range before the one that an id begins; -1 for other ids
+        x = ids.fillna(NO_ID).to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(heads, x), max(len(heads) - 1, 0))
+        return pd.Series(np.where(heads[at] == x, owners[at], -1).astype(np.int32) if len(heads) else np.full(len(x), -1, np.int32))
 
     own = rows.select(of("doc_id").alias("range"), F.lit(0).alias("tail"), "doc_id", "text")
-    extra = rows.filter(heads | F.col("doc_id").isNull() if NO_ID in before else heads)
-    extra = extra.select(owner("doc_id").alias("range"), F.lit(1).alias("tail"), "doc_id", "text")
+    extra = rows.select(owner("doc_id").alias("range"), F.lit(1).alias("tail"), "doc_id", "text").filter("range >= 0")
     dealt = own.unionByName(extra).repartitionById(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
     shape = to_arrow_schema(schema)

@@ -55,4 +55,29 @@ def test_likeness_follows_the_common_parts():
     assert 0.7 <= P.likeness(f(text), f("#" * 1000 + text[1000:])) <= 0.76
     assert P.likeness(f(text), f("#" * 4000)) == 0 == P.likeness(f(text), f(""))
     assert P.likeness(f(text), f(text + text[:500])) > 0.8
+    # edits near both ends leave the middle, which neither head nor tail reaches
+    assert P.likeness(f(text), f("#" + text[1:3990] + "#" * 10)) > 0.9
+    assert 0.4 <= P.likeness(f(text), f("#" * 1000 + text[1000:3000] + "%" * 1000)) <= 0.5
+    # as far from the end, not from the beginning
+    assert 0.3 <= P.likeness(f(text), f("#" * 1500 + text[1000:3000] + "%" * 1000)) <= 0.5
     assert all(pow(a, p - 2, p) * a % p == 1 for p, a in zip(P.PRIMES, P.BASES, strict=True))
+
+
+def test_likeness_equals_comparing_the_texts():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = "".join(rng.choices("ab", k=rng.randint(0, 300)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 9)] = rng.choices("abc", k=rng.randint(0, 9))
+        b = "".join(b)
+        step, n, m = max(P.step_of(len(a)), P.step_of(len(b))), len(a), len(b)
+        held = set()
+        for i in range(min(n, m) // step):
+            if a[i * step : (i + 1) * step] == b[i * step : (i + 1) * step]:
+                held.update(range(i * step, (i + 1) * step))
+            if a[n - (i + 1) * step : n - i * step] == b[m - (i + 1) * step : m - i * step]:
+                held.update(range(max(n, m) - (i + 1) * step, max(n, m) - i * step))
+        want = 1.0 if a == b else min(len(held), n, m) / max(n, m)
+        assert P.likeness(P.fingerprint(a), P.fingerprint(b)) == want == P.likeness(P.fingerprint(b), P.fingerprint(a))
