@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import folder, table
 
@@ -42,6 +43,10 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}"),
 )
 RULE_VERSION = "base-1"
+#: Matches of a text that one fold goes over.
+CHUNK = 128
+#: Rows of a finding, among which the paths of its blob are dealt.
+SALTS = 8
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -65,8 +70,12 @@ def _of_rule(text: Column, rank: int, rule: Rule) -> Column:
         return F.struct(end.alias("at"), F.when(x["2"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     rows = F.transform(rows, lambda x: F.struct(*[x[f].alias(str(i)) for i, f in enumerate(("gap", "own", "value"))]))
-    folded = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step)
-    return F.when(text.rlike(rule.pattern), folded["spans"]).otherwise(empty)
+    # a fold copies what it has gathered at every step, so it goes over CHUNK matches at a time
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(rows), F.lit(1)) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, F.lit(CHUNK)))
+    folded = F.transform(chunks, lambda x: F.aggregate(x, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step))
+    bases = F.aggregate(folded, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+    moved = F.zip_with(folded, F.slice(bases, F.lit(1), F.size(folded)), lambda x, base: F.transform(x["spans"], lambda s: F.struct((s["start"] + base).alias("start"), s["rank"].alias("rank"), (s["end"] + base).alias("end"), s["kind"].alias("kind"))))
+    return F.when(text.rlike(rule.pattern), F.flatten(moved)).otherwise(empty)
 
 
 def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -102,10 +111,14 @@ def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULE
 
 def join_paths(versions: DataFrame, ledger_rows: DataFrame) -> DataFrame:
     """Findings for every row of ``versions``: its columns and ``secret_spans`` (never null). Blobs
-    without findings don't enter the join; a blob that many paths share is one small row of it."""
-    found = ledger_rows.filter(F.size("spans") > 0).select(F.col("blob").alias("secret_blob"), F.col("spans").alias("secret_spans"))
-    rows = versions.drop("secret_blob", "secret_spans").withColumn("secret_blob", blob_id(F.col("text")))
-    out = rows.join(found, "secret_blob", "left")
+    without findings don't enter the join; one that many paths share stands in it SALTS times, and its
+    paths are dealt among those. A blob that two runs at once have written counts once."""
+    found = ledger_rows.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("secret_blob")).agg(F.first("spans").alias("secret_spans"))
+    found = found.withColumn("secret_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = versions.drop("secret_blob", "secret_spans", "secret_salt").withColumn("secret_blob", blob_id(F.col("text")))
+    names = [F.col(f"`{f.name}`") for f in versions.schema if isinstance(f.dataType, T.AtomicType) and f.name != "text"]
+    rows = rows.withColumn("secret_salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int") if names else F.lit(0))
+    out = rows.join(found, ["secret_blob", "secret_salt"], "left").drop("secret_salt")
     return out.withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(SPANS)))
 
 

@@ -56,3 +56,22 @@ def test_redaction_removes_every_span(spark, tmp_path):
     text = " ".join(r.text or "" for r in clean.collect())
     assert KEY not in text and "abcdefgh1" not in text and "short" in text
     assert {r.doc_id: r.text for r in clean.collect()}[1] == "é [assign]\" and [assign]; [access]"
+
+
+def test_many_findings_in_one_text(spark, tmp_path):
+    rows = [(1, " ".join(f"token={'a' * 9}{i} x{KEY} " + "0f" * 20 for i in range(700)), "en", "s"), (2, None, None, None)]
+    d = documents(tmp_path, rows)
+    same(S.op6_secret_scans(spark, d), oracle(S.OP6_SQL, d, "documents"))
+
+
+def test_second_run_scans_nothing(spark, tmp_path):
+    docs = spark.read.parquet(documents(tmp_path, ROWS) + "/documents.parquet")
+    ledger = folder(spark, "ledger")
+    first = S.scan_unseen(docs, ledger)
+    rows = first.count()
+    # other rules under the same version: no blob is scanned again, so the findings stay
+    second = S.scan_unseen(docs, ledger, (S.Rule("none", "(?!)"),))
+    assert second.count() == rows and second.exceptAll(first).count() == 0
+    # two runs at once may both have written a blob; its paths still come once
+    again = S.join_paths(docs, first.unionByName(second))
+    assert again.count() == docs.count()
