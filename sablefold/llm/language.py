@@ -7,8 +7,8 @@ features K(x, landmarks) K(landmarks, landmarks)^(-1/2) feed ridge regressions,
 against the rest. Landmarks and regressions fold into one matrix, so a batch is scored by two matrix
 products: presence by landmarks, kernel by classes.
 
-The fit uses at most ``FIT_ROWS`` labelled texts, as many of each language, chosen by a hash of their
-ids over all labelled rows; each comes to the driver as its ``BITS`` / 8 bytes of presence bits, so the
+The fit uses at most ``FIT_ROWS`` labelled texts (or one of each language, if those are more), as many of
+each language, chosen by a hash of id and text over all labelled rows; each comes to the driver as its ``BITS`` / 8 bytes of presence bits, so the
 fit's memory has a fixed bound. Prediction streams whole texts, without a shuffle.
 """
 
@@ -19,17 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 BITS = 1 << 14
 GRAMS = 4
-#: Labelled texts in the fit, landmarks among them, and languages that a model may have.
+#: Labelled texts in the fit (one of each language at least), and landmarks among them.
 FIT_ROWS = 3_000
 LANDMARKS = 256
-LANGUAGES = 500
 RIDGE = 1e-3
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -120,34 +119,31 @@ def fit_bits(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, rid
 
 def _chosen(labelled: DataFrame, rows: int) -> list[tuple[str, int, bytes]]:
     """(lang, hash, packed bits) of at most ``rows`` texts, as many of each language as there are."""
-    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return []
     each = max(1, rows // len(counts))
     # the share of a language's hashes that holds about ``each`` of its rows, with room for chance
     shares = {lang: min(1.0, (each + 4 * each**0.5 + 8) / n) for lang, n in counts}
-    mark = F.xxhash64(F.col("doc_id"), F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
+    mark = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
     limit = F.create_map(*[x for lang, s in shares.items() for x in (F.lit(lang), F.lit(s * 2**32))])
     picked = labelled.withColumn("mark", mark).filter(F.col("mark") < F.element_at(limit, F.col("lang"))).select("lang", "mark", "text")
+    # repeated rows share a hash: ranks keep the bound, and each task sends no more than it allows
+    first = Window.partitionBy("lang").orderBy("mark", "text")
+    picked = picked.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= each).drop("at")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [np.packbits(presence(t or "")).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["lang", "mark", "bits"])
 
-    got = sorted(tuple(r) for r in picked.mapInArrow(pack, "lang string, mark bigint, bits binary").collect())
-    out, seen = [], {}
-    for lang, m, bits in got:
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= each:
-            out.append((lang, m, bytes(bits)))
-    return sorted(out, key=lambda r: (r[1], r[0], r[2]))
+    got = [(r[0], r[1], bytes(r[2])) for r in picked.mapInArrow(pack, "lang string, mark bigint, bits binary").collect()]
+    return sorted(got, key=lambda r: (r[1], r[0], r[2]))
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model of the labelled rows of ``docs`` (doc_id, text, lang) that held_out() leaves. Rows without
-    text, letters or language teach nothing; without any the model knows no language. Of more than
-    ``LANGUAGES`` labels the most frequent are learned."""
+    text, letters or language teach nothing; without any the model knows no language. Every label is learned."""
     labelled = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     picked = _chosen(labelled, rows)
     if not picked:

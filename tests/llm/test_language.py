@@ -57,6 +57,27 @@ def test_fit_is_bounded(spark, tmp_path):
     docs = spark.read.parquet(documents(tmp_path, rows(600)) + "/documents.parquet")
     labelled = docs.filter("lang is not null and text is not null and doc_id is not null")
     assert len(L._chosen(labelled, 60)) <= 60
+    # one id, one text: the bound holds
+    same = labelled.limit(1).crossJoin(spark.range(500)).drop("id")
+    assert len(L._chosen(labelled.unionByName(same), 60)) <= 60
+
+
+def test_fit_equals_the_textbook():
+    texts = [(" ".join(np.random.default_rng(i).choice(WORDS[lang], 6)), lang) for i, lang in enumerate(np.resize(list(WORDS), 40).tolist())]
+    bits, langs = np.stack([L.presence(t) for t, _ in texts]), [lang for _, lang in texts]
+    sets = [set(np.flatnonzero(b)) for b in bits]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    own = np.unique(np.linspace(0, 39, 15).astype(int))
+    # features whose products are the kernel's projection on the landmarks
+    values, vectors = np.linalg.eigh(k[np.ix_(own, own)])
+    z = np.hstack([k[:, own] @ vectors @ np.diag(values**-0.5), np.ones((40, 1))])
+    weight = np.array([1 / langs.count(x) for x in langs])
+    want = np.zeros((40, 3))
+    for c, lang in enumerate(sorted(WORDS)):
+        y = np.array([1.0 if x == lang else -1.0 for x in langs])
+        want[:, c] = z @ np.linalg.solve(z.T @ (z * weight[:, None]) + L.RIDGE * np.eye(z.shape[1]), z.T @ (y * weight))
+    model = L.fit_bits(bits, langs, landmarks=15)
+    assert np.allclose(model.scores(bits, model.landmarks()), want, atol=1e-4)
 
 
 def test_pipeline_rejects_what_no_language_claims(spark, tmp_path):
