@@ -91,6 +91,8 @@ class Codec:
 
         self.ranks = read_ranks(path)
         self.pieces = regex.compile(pattern).findall
+        # the cuts below are safe for the given pattern; texts of any other are cut by it alone
+        self.cuts = pattern == _default_vocabulary()[1]
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": False})
         self.known, self.spans = Store(), Store()
         ids = self.ranks
@@ -151,7 +153,7 @@ class Codec:
             self.known = Store()
         if len(self.spans.slot) > CACHE:
             self.spans = Store()
-        odd = np.asarray(pc.match_substring_regex(texts, _RUN))
+        odd = np.asarray(pc.match_substring_regex(texts, _RUN)) if self.cuts else np.ones(len(texts), bool)
         order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
         # where no white space follows white space, every single space begins a span
         words = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
@@ -161,7 +163,7 @@ class Codec:
         head = np.zeros(len(codes), bool)
         head[np.cumsum(rows) - rows] = True
         at_head, later = (np.bincount(codes[x], minlength=len(names)) > 0 for x in (head, ~head))
-        others = [_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        others = [_CUT.split(t) if self.cuts else [t] for t in texts.filter(pa.array(odd)).to_pylist()]
         first, spaced = [names[i] for i in np.flatnonzero(at_head)], [" " + names[i] for i in np.flatnonzero(later)]
         self._learn_spans(list({*first, *spaced}.union(*others).difference(self.spans.slot)))
         slots = np.empty((2, len(names)), np.int64)

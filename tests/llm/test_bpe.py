@@ -49,3 +49,10 @@ def test_another_vocabulary_and_other_columns(spark, tmp_path):
     out = bpe.decode(bpe.encode(docs, str(path), P.PATTERN, "body"), str(path), P.PATTERN).orderBy("id").collect()
     assert [r.ids for r in out] == [[257, 256], []] and [bytes(r.decoded) for r in out] == [b"ababab", b""]
     assert tiktoken.Encoding("s", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={}).encode_ordinary("ababab") == [257, 256]
+
+
+def test_another_pattern_is_followed(library):
+    own = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), r"[a-z]+ [a-z]+|\s+|.")
+    other = tiktoken.Encoding("other", pat_str=r"[a-z]+ [a-z]+|\s+|.", mergeable_ranks=own.ranks, special_tokens={})
+    texts = ["the other words here", "of the", "  a b c  ", "", "in 9 to be"]
+    assert own.encode(pa.array(texts)).to_pylist() == [other.encode_ordinary(t) for t in texts]
