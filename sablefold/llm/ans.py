@@ -39,8 +39,9 @@ LANES = 1024
 SCALE = 22
 LOW = np.uint64(1 << 31)
 END_ID = 1
-#: Documents of a file, about.
-FILE_DOCS = 20_000
+#: Documents of a sorted run, about, and documents and ids of a file, at most (one document at least).
+RUN_DOCS = 20_000
+FILE_DOCS, FILE_IDS = 20_000, 1 << 23
 
 
 class AnsError(ValueError):
@@ -383,34 +384,56 @@ def count_ids(tokens: DataFrame) -> Table:
     return Table(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))
 
 
-def write_tokens(tokens: DataFrame, tab: Table, target: str, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Write ``tokens`` (doc_id, ids: arrays or packed()) below ``target`` in ascending doc_id (null first, ties by ids).
-    Returns the manifest: file, name, n_docs, n_ids, base (ids before the file)."""
+def write_tokens(tokens: DataFrame, tab: Table, target: str, run_docs: int = RUN_DOCS, file_ids: int = FILE_IDS) -> DataFrame:
+    """Write ``tokens`` (doc_id, ids: arrays or packed()) below ``target`` in ascending doc_id (null first, ties by
+    a hash of the ids, so many rows of one id spread over tasks). A task writes its run in files of at most
+    ``file_ids`` ids or one longer document, and holds no more than one. Returns the manifest: file, piece, name,
+    n_docs, n_ids, base (ids before the file)."""
     spark = tokens.sparkSession
-    files = max(shuffle_partitions(spark), -(-tokens.count() // file_docs))
-    dealt = tokens.select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    runs = max(shuffle_partitions(spark), -(-tokens.count() // run_docs))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    dealt = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(runs, *order).sortWithinPartitions(*order)
     dealt = dealt.select(F.spark_partition_id().alias("file"), "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, lengths, file = [], [], None
-        pieces: list[np.ndarray] = []
+        doc_ids, lengths, pieces, held, done = [], [], [], 0, []
+
+        def close(file: int) -> None:
+            nonlocal doc_ids, lengths, pieces, held
+            name = f"tokens-{file:06d}-{len(done):04d}.ids"
+            put(target, name, pack_file(tab, doc_ids, np.concatenate(lengths), iter(pieces)))
+            done.append((file, len(done), name, len(doc_ids), held))
+            doc_ids, lengths, pieces, held = [], [], [], 0
+
+        file = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             file = batch.column(0)[0].as_py()
-            doc_ids += batch.column(1).to_pylist()
+            own = batch.column(1).to_pylist()
             flat, n = _lists(batch, 2)
-            lengths.append(n)
-            pieces.append(flat.astype(np.int32))
-        if file is None:
-            return
-        n = np.concatenate(lengths)
-        name = f"tokens-{file:06d}.ids"
-        put(target, name, pack_file(tab, doc_ids, n, iter(pieces)))
-        yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["file", "name", "n_docs", "n_ids"])
-
-    listed = written(dealt.mapInArrow(run, "file int, name string, n_docs bigint, n_ids bigint"), "ids-files")
-    upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+            ends = np.cumsum(n)
+            first = 0
+            while first < len(own):
+                before = int(ends[first - 1]) if first else 0
+                last = int(np.searchsorted(ends, before + file_ids - held, side="right"))
+                last = min(max(last, first + (not doc_ids)), first + FILE_DOCS - len(doc_ids), len(own))
+                if last > first:
+                    doc_ids += own[first:last]
+                    lengths.append(n[first:last])
+                    pieces.append(flat[before : int(ends[last - 1])].astype(np.int32))
+                    held += int(ends[last - 1]) - before
+                if last < len(own):
+                    close(file)
+                first = last
+        if doc_ids:
+            close(file)
+        columns = list(zip(*done, strict=True)) or [[]] * 5
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["file", "piece", "name", "n_docs", "n_ids"])
+
+    listed = written(dealt.mapInArrow(run, "file int, piece int, name string, n_docs bigint, n_ids bigint"), "ids-files")
+    upto = Window.orderBy("file", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return written(listed.withColumn("base", F.coalesce(F.sum("n_ids").over(upto), F.lit(0))), "ids-manifest")
 
 

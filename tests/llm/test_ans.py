@@ -17,13 +17,13 @@ def test_files_hold_the_librarys_ids(spark, tmp_path, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    ids = sorted(((d, t.encode(x or "", add_special_tokens=False).ids + [1]) for d, x, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    want, at = [], 0
-    for d, own in ids:
-        want.append((d, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
-        at += len(own)
-    got = [tuple(r) for r in ans.op10_token_ids(spark, documents(tmp_path, rows)).collect()]
-    assert sorted(got, key=lambda r: r[1]) == want
+    coded = [(d, t.encode(x or "", add_special_tokens=False).ids + [1]) for d, x, *_ in rows]
+    got = sorted((tuple(r) for r in ans.op10_token_ids(spark, documents(tmp_path, rows)).collect()), key=lambda r: r[1])
+    # ascending, without gaps; rows of one id in any order
+    assert [r[0] for r in got] == sorted((d for d, _ in coded), key=lambda d: (d is not None, d or 0))
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    assert sorted(((d, n, crc) for d, _, n, crc in got), key=key) == sorted(((d, len(own), zlib.crc32(np.array(own, "<u4").tobytes())) for d, own in coded), key=key)
 
 
 def _table(ids):
@@ -77,6 +77,23 @@ def test_many_files_keep_global_starts(spark):
     rows = [(i, list(range(i % 50))) for i in range(500)]
     tokens = spark.createDataFrame(rows, "doc_id long, ids array<int>")
     tab, target = ans.count_ids(tokens), folder(spark, "ids")
-    out = ans.read_tokens(ans.write_tokens(tokens, tab, target, 40), tab, target).orderBy("doc_id").collect()
+    listed = ans.write_tokens(tokens, tab, target, 40)
+    out = ans.read_tokens(listed, tab, target).orderBy("doc_id").collect()
     assert [list(r.ids) for r in out] == [r[1] for r in rows]
     assert [r.start for r in out] == [sum(len(x[1]) for x in rows[:i]) for i in range(500)]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_files_are_bounded_by_ids(spark, same):
+    rng = np.random.default_rng(5)
+    rows = [(7 if same else i, rng.integers(0, 90, n).tolist()) for i, n in enumerate([0, 0, 400, 3, 0, 99, 100, 101, 250, 1, 1, 1] * 9)]
+    tokens = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    tab, target = ans.count_ids(tokens), folder(spark, "ids")
+    listed = ans.write_tokens(tokens, tab, target, 50, 100)
+    files = listed.collect()
+    assert all(f.n_ids <= 100 or f.n_docs == 1 for f in files) and sum(f.n_docs for f in files) == len(rows)
+    out = sorted(ans.read_tokens(listed, tab, target).collect(), key=lambda r: (r.start, r.n_tokens))
+    assert [r.start for r in out] == [sum(x.n_tokens for x in out[:i]) for i in range(len(out))]
+    assert sorted((r.doc_id, list(r.ids)) for r in out) == sorted(rows)
+    if same:  # one id spreads over runs
+        assert len({f.file for f in files}) > 1
