@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where written tables go when the session names no shared folder (single-machine use, tests).
-DEFAULT_FOLDER = "file:///tmp/sablefold-work"
+#: Below the machine's temporary folder: where written tables go when a local session names no shared folder.
+LOCAL_FOLDER = "sablefold-work"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that ``spark.checkpoint.dir`` names, shared by driver and executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/{LOCAL_FOLDER}"
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}" if base.startswith("/") else base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    # intermediate data of a session go when its driver ends
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
