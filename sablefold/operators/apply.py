@@ -27,8 +27,11 @@ def keyed(df: DataFrame) -> DataFrame:
 
 def join_flat(df: DataFrame, column: str, pairs: DataFrame, source: T.DataType, goal: T.DataType) -> DataFrame:
     """Column ``column`` replaced where ``pairs`` (key, value as text) has its value. The mapping's side is
-    cast to the column's type for the join; values without a row stay, cast to the goal type if it differs."""
-    key, value = spare(df, "__key"), spare(df, "__value")
+    cast to the column's type for the join; values without a row stay, cast to the goal type if it differs.
+
+    Nulls match nothing and would all be hashed to one task: their part of the join key is the partition that
+    they are read in. A frequent value is left to AQE, which splits the frame's side of an outer join."""
+    key, value, spread = spare(df, "__key"), spare(df, "__value"), spare(df, "__spread")
     if isinstance(source, (T.FloatType, T.DoubleType)):
         # doubles meet by their one text form
         side = pairs.select(F.col("key").alias(key), F.col("value").alias(value))
@@ -36,7 +39,10 @@ def join_flat(df: DataFrame, column: str, pairs: DataFrame, source: T.DataType,
     else:
         side = pairs.select(from_text(F.col("key"), source).alias(key), F.col("value").alias(value)).filter(F.col(key).isNotNull())
         on = F.col(f"`{column}`") == F.col(key)
-    joined = df.join(side, on, "left")
+    dealt = df.withColumn(spread, F.when(F.col(f"`{column}`").isNull(), F.spark_partition_id() + 1).otherwise(0).cast("long"))
+    # always 0, but no constant that the optimizer would take out of the join key
+    side = side.withColumn(f"{spread}_", F.pmod(F.xxhash64(key), F.lit(1)))
+    joined = dealt.join(side, on & (F.col(spread) == F.col(f"{spread}_")), "left")
     own = F.col(f"`{column}`")
     same = own if source == goal else from_text(as_text(own, source), goal) if not isinstance(goal, T.StringType) else as_text(own, source)
     new = F.coalesce(from_text(F.col(value), goal), same).alias(column)

@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Built-in name patterns by category, in matching order.
-NAMES: tuple[tuple[str, str], ...] = tuple(
-    (pattern, category)
-    for category, patterns in (
-        ("name", "name full_name first_name last_name patient_name member_name nama nama_lengkap"),
-        ("identifier", "patientcardnumber card_number card_no member_code additional_member_code nik no_ktp npwp no_bpjs bpjs"),
-        ("contact", "phone phone_number mobile no_hp no_telepon store_phone email"),
-        ("address", "address alamat"),
-        ("date", "date_of_birth birth_date dob tanggal_lahir"),
-    )
-    for pattern in patterns.split()
+# Names and categories that must be recognised as they stand, in matching order.
+NAMES: tuple[tuple[str, str], ...] = (
+    ("name", "name"),
+    ("full_name", "name"),
+    ("first_name", "name"),
+    ("last_name", "name"),
+    ("patient_name", "name"),
+    ("member_name", "name"),
+    ("nama", "name"),
+    ("nama_lengkap", "name"),
+    ("patientcardnumber", "identifier"),
+    ("card_number", "identifier"),
+    ("card_no", "identifier"),
+    ("member_code", "identifier"),
+    ("additional_member_code", "identifier"),
+    ("nik", "identifier"),
+    ("no_ktp", "identifier"),
+    ("npwp", "identifier"),
+    ("no_bpjs", "identifier"),
+    ("bpjs", "identifier"),
+    ("phone", "contact"),
+    ("phone_number", "contact"),
+    ("mobile", "contact"),
+    ("no_hp", "contact"),
+    ("no_telepon", "contact"),
+    ("store_phone", "contact"),
+    ("email", "contact"),
+    ("address", "address"),
+    ("alamat", "address"),
+    ("date_of_birth", "date"),
+    ("birth_date", "date"),
+    ("dob", "date"),
+    ("tanggal_lahir", "date"),
 )
 #: Words of a column name that speak of organisations, not persons (fuzzy matching only).
 ORGANISATION = ("company", "companies", "corporate", "business", "employer", "organisation", "organization", "firm")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
-from ..functions.values import is_leaf
+from ..functions.values import is_leaf, prose_ratio
 from ..operators.detect import Stats, confidence, match_name, scan
 from ..patterns import BY_NAME
 from .paths import bare, json_leaves, kind_at, last_name, leaves, parse, resolve
 
-#: Documents of a JSON column that are looked at for leaves, and rows for names in prose.
-JSON_DOCS, PROSE_ROWS, PROSE_HITS, PROSE_LEAST = 20, 20, 5, 0.3
+#: Least share of values with four words or more in a column of prose.
+PROSE_LEAST = 0.3
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,9 @@ def plan(df: DataFrame, config: Config | None = None, selected: Iterable[str] |
 
     ``selected`` limits them to columns or paths (with or without ``[*]``, ``column:path`` in JSON text);
     an empty selection selects nothing. A selected top column takes all that is below it. Columns of a
-    type that cannot be processed are skipped with a reason and stay skipped. Jobs: one aggregate for
-    value shapes, one bounded read for each JSON or prose column.
+    type that cannot be processed are skipped with a reason and stay skipped. Jobs, all over whole columns:
+    one aggregate for value shapes, one for the leaves of each JSON column, one for all prose ratios, and a
+    search for a name in each column of prose.
     """
     config = (config or Config()).resolved()
     chosen = None if selected is None else {bare(s) for s in selected}
@@ -110,25 +112,52 @@ def plan(df: DataFrame, config: Config | None = None, selected: Iterable[str] |
         asked = {s.partition(":")[2] for s in (chosen or ()) if s.startswith(f"{column}:")}
         if chosen is not None and not asked and column not in chosen:
             continue
-        docs = [parse(r[0]) for r in df.select(F.col(f"`{column}`")).filter(F.col(f"`{column}`").isNotNull()).limit(JSON_DOCS).collect()]
-        found = list(dict.fromkeys(p for d in docs if d is not None for p, _ in json_leaves(d)))
-        for path in found:
-            name = match_name(last_name(path), patterns, config.match_strategy)
-            if (bare(path) in asked) if asked else name:
-                out.targets.append(Target("json", column, f"{column}:{path}", name[1] if name else "custom", "string", name[0] if name else None))
+        named = lambda path: match_name(last_name(path), patterns, config.match_strategy)
+        for path in json_paths(df, column, lambda path, asked=asked, named=named: bare(path) in asked if asked else named(path) is not None):
+            name = named(path)
+            out.targets.append(Target("json", column, f"{column}:{path}", name[1] if name else "custom", "string", name[0] if name else None))
     # names in prose
     if config.ner and find_names:
         taken = {t.column for t in out.targets}
-        for f in df.schema:
-            if isinstance(f.dataType, T.StringType) and f.name not in taken and f.name not in json_columns and wanted(f.name):
-                rows = [r[0] for r in df.select(F.col(f"`{f.name}`")).filter(F.col(f"`{f.name}`").isNotNull()).limit(PROSE_ROWS).collect()]
-                prose = [len(x.split()) >= 4 for x in rows]
-                if rows and sum(prose) / len(rows) >= PROSE_LEAST and any(find_names(x) for x in rows[:PROSE_HITS]):
-                    out.targets.append(Target("text", f.name, f.name, "name", "string", None, 0.5, False, "ner"))
+        texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in taken and f.name not in json_columns and wanted(f.name)]
+        ratios = df.agg(*[prose_ratio(F.col(f"`{c}`")) for c in texts]).first() if texts else ()
+        for column, ratio in zip(texts, ratios, strict=True):
+            if ratio >= PROSE_LEAST and has_names(df, column, find_names):
+                out.targets.append(Target("text", column, column, "name", "string", None, 0.5, False, "ner"))
     out.warnings += [f"{path}: {why}; left unchanged" for path, why in out.skipped]
     return out
 
 
+def json_paths(df: DataFrame, column: str, wanted: Callable[[str], bool]) -> list[str]:
+    """Paths of the strings in all documents of a column that are ``wanted``, in order. A task sends each
+    path once; paths that aren't wanted stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            before = len(known)
+            for doc in map(parse, batch.column(0).to_pylist()):
+                for path in {p for p, _ in json_leaves(doc)} if doc is not None else ():
+                    if path not in known:
+                        known[path] = wanted(path)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in list(known)[before:] if known[p]], pa.string())], names=["path"])
+
+    found = df.select(F.col(f"`{column}`").alias("doc")).filter("doc is not null").mapInArrow(run, "path string")
+    return [r[0] for r in found.distinct().orderBy("path").collect()]
+
+
+def has_names(df: DataFrame, column: str, find_names: Callable[[str], list]) -> bool:
+    """Whether any value of a column holds a name; a task ends with its first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if any(find_names(x) for x in batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([True])], names=["found"])
+                return
+
+    return df.select(F.col(f"`{column}`").alias("text")).filter("text <> ''").mapInArrow(run, "found boolean").limit(1).count() > 0
+
+
 def target_type(df: DataFrame, t: Target) -> T.DataType:
     if t.kind == "nested":
         return kind_at(df.schema, t.path)

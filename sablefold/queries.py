@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import io_queries
 from .config import Config
 from .functions import values as V
 from .functions.names import gazetteer
@@ -274,9 +275,9 @@ def mapping_merge_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mapping_anti_join_new(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that a second run adds to a first one's mapping."""
+    """Rows that a run over all customers adds to the mapping of one segment's."""
     df = _t(spark, d, "customer")
-    old = _redact(df.filter("c_custkey < 500"), "c_name", "partial")[1]
+    old = _redact(df.filter("c_mktsegment = 'BUILDING'"), "c_name", "partial")[1]
     new = _redact(df, "c_name", "partial")[1]
     return M.extend(old, new).join(old.select("original"), "original", "left_anti").select("original", "replacement")
 
@@ -285,7 +286,7 @@ def mapping_project_reuse(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of a first run stay, numbers go on after them."""
     df = _t(spark, d, "customer")
     config, targets = Config(mode="redact"), [_flat("c_name")]
-    first = M.build({"": (df.filter("c_custkey < 500"), targets)}, config)
+    first = M.build({"": (df.filter("c_mktsegment = 'BUILDING'"), targets)}, config)
     return M.build({"": (df, targets)}, config, first).select("original", "replacement")
 
 
@@ -444,8 +445,8 @@ ORACLE = {
     "leak_value_shapes": "SELECT 'c_where' AS path, 'shape' AS kind, 'email shape at 100% of values (email address)' AS detail",
     "audit_counts": "SELECT 'customer' AS scope, 'c_name' AS path, 'name' AS category, count(DISTINCT c_name) AS unique_count FROM customer UNION ALL SELECT 'supplier', 's_name', 'name', count(DISTINCT s_name) FROM supplier",
     "mapping_merge_last_wins": f"SELECT DISTINCT 'c_mktsegment' AS path, c_mktsegment AS original, {_MASK.replace("{0}", 'c_mktsegment')} AS replacement FROM customer",
-    "mapping_anti_join_new": f"SELECT DISTINCT c_name AS original, {_MASK.replace("{0}", 'c_name')} AS replacement FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_custkey < 500)",
-    "mapping_project_reuse": "WITH a AS (SELECT c_name, row_number() OVER (ORDER BY c_name) AS n FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey < 500)), b AS (SELECT c_name, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY c_name) AS n FROM (SELECT DISTINCT c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM a))) SELECT c_name AS original, '<PERSON_' || n || '>' AS replacement FROM (SELECT * FROM a UNION ALL SELECT * FROM b)",
+    "mapping_anti_join_new": f"SELECT DISTINCT c_name AS original, {_MASK.replace("{0}", 'c_name')} AS replacement FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "mapping_project_reuse": "WITH a AS (SELECT c_name, row_number() OVER (ORDER BY c_name) AS n FROM (SELECT DISTINCT c_name FROM customer WHERE c_mktsegment = 'BUILDING')), b AS (SELECT c_name, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY c_name) AS n FROM (SELECT DISTINCT c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM a))) SELECT c_name AS original, '<PERSON_' || n || '>' AS replacement FROM (SELECT * FROM a UNION ALL SELECT * FROM b)",
     "mapping_reverse": f"SELECT {_MASK.replace("{0}", 'c_mktsegment')} AS replacement, max(c_mktsegment) AS original FROM customer GROUP BY 1",
     "gateway_describe": "SELECT 'c_custkey' AS \"column\", count(*) FILTER (c_custkey IS NULL) AS nulls, count(DISTINCT c_custkey) AS \"distinct\" FROM customer UNION ALL SELECT 'c_mktsegment', count(*) FILTER (c_mktsegment IS NULL), count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'c_some', count(*) FILTER (c_custkey % 3 <> 0), count(DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END) + 1 FROM customer",
     "gateway_page": "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS text, n_chars FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40",
@@ -470,4 +471,5 @@ ORACLE = {
     "restore_prose_exact": "SELECT 'see ' || s_name || '.' AS restored FROM supplier",
 }
 
-
+QUERIES |= io_queries.QUERIES
+ORACLE |= io_queries.ORACLE

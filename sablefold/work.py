@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DEFAULT_FOLDER = "file:///tmp/sablefold-work"
+#: Below the machine's temporary folder: where tables go when a local session names no shared folder.
+LOCAL_FOLDER = "sablefold-work"
 #: Rows up to which a window may rank a group as a whole.
 WINDOW_ROWS = 1_000_000
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder of ``spark.checkpoint.dir``, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER
+    """A fresh path below the folder of ``spark.checkpoint.dir``, which driver and executors share. What lies
+    there goes when the session's driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/{LOCAL_FOLDER}"
     if base.startswith("/"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -183,3 +183,29 @@ def test_large_ranks_equal_windows(spark, monkeypatch):
     whole = rows(work.ranked(df, [], [F.col("v"), F.col("id")], "r"))
     monkeypatch.setattr(work, "WINDOW_ROWS", 50)
     assert rows(work.ranked(df, ["g"], [F.col("v"), F.col("id")], "r")) == small and rows(work.ranked(df, [], [F.col("v"), F.col("id")], "r")) == whole
+
+
+def test_leaves_and_names_that_come_late_are_planned(spark):
+    """Personal data first seen after thousands of rows is planned like any other, on every run."""
+    docs = [(i, '{"status": "open", "n": 1}', "nothing at all here") for i in range(3000)] + [(3000, '{"contact": {"email": "a@x.org"}}', "yesterday Adra Belan came by")]
+    df = spark.createDataFrame(docs, "id long, doc string, note string").repartition(5, "id")
+    config = Config(json_columns=("doc",), ner=True, **REDACT)
+    run = process_frames({"default": df}, config, find_names=gazetteer())
+    assert {t.path for t in run.plans["default"].targets} == {"doc:contact.email", "note"}
+    last = run.frames["default"].filter("id = 3000").first()
+    assert "a@x.org" not in last.doc and "Adra" not in last.note
+    assert rows(restore(run.frames["default"], run.mapping)) == rows(df)
+
+
+def test_many_nulls_join_in_several_tasks(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 50 == 0, F.concat(F.lit("P"), F.col("id").cast("string"))).alias("name")).repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        protected, mapping = process(df, Config(**REDACT))
+        parts = [r["count"] for r in protected.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 2 and max(parts) < 2500
+        assert rows(restore(protected, mapping)) == rows(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -112,3 +112,10 @@ def test_command_line(spark, people, tmp_path, capsys, monkeypatch):
     assert "full_name" in capsys.readouterr().out
     assert cli.main(["project", "init", at("p.json")]) == 0 and cli.main(["project", "add", at("p.json"), "--from", at("m.json")]) == 0
     assert cli.main(["project", "status", at("p.json")]) == 0 and mappings.load(spark, at("p.json")).count() == mappings.load(spark, at("m.json")).count()
+
+
+def test_every_query_has_its_sql():
+    from sablefold import queries
+
+    assert set(queries.ORACLE) <= set(queries.QUERIES) and len(queries.QUERIES) > 90
+    assert set(queries.QUERIES) - set(queries.ORACLE) <= {"scrub_documents"}
