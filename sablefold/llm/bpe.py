@@ -34,15 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, portions, table
+from .common import Store, give_back, portions, table
 
 #: Bytes from which a piece is merged through a heap.
 LONG = 256
 #: Pieces, and spans of pieces, kept by a worker from one batch to the next.
-CACHE = 250_000
+CACHE = 150_000
 #: Rows and bytes of text (or ids) that a worker takes at once, and ids that one list of DuckDB's holds.
 ROWS, SIZE, RUN = 2_000, 8 << 20, 1 << 18
-MEMORY = "200MB"
+MEMORY = "128MB"
 
 _ENCODE = """
 WITH RECURSIVE state(piece, ids, live) AS (
@@ -252,7 +252,8 @@ def _mapped(df: DataFrame, source: str, new: list[tuple[str, str]], path: str |
         for whole in batches:
             for batch in portions(whole, at, ROWS, SIZE):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(own, batch.column(at))], names=[*batch.schema.names, *names])
-                pa.default_memory_pool().release_unused()  # idle workers are kept
+                pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

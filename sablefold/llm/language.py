@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 BITS = 1 << 14
 GRAMS = 4
@@ -169,6 +169,8 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
                 batch = whole.slice(first, 1024)
                 got = own.predict(batch.column(at).to_pylist(), marks)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names, lang, score])
+        del own, marks
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

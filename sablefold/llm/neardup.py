@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, written
+from .common import give_back, shuffle_partitions, table, written
 
 TREES, DEPTH = 12, 6
 HASHES = TREES * DEPTH
@@ -143,6 +143,8 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                     keys.append(_digest(own) if len(own) else None)
                     sigs.append(signature(own).astype(">u4").tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "key", "sig", "mark"])
+        _words.clear()
+        give_back()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, sig binary, mark bigint")
 
@@ -334,6 +336,8 @@ def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, bool]:
                     yield from run.close(False)
         if run.held:
             yield from run.close(True)
+        del run
+        give_back()
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = None
@@ -517,6 +521,9 @@ def _confirm(rows: DataFrame, k: int, num: int, den: int, least: float) -> DataF
         if len(sets) > 1:
             a, b = close()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        nodes, sets = [], []
+        _words.clear()
+        give_back()
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
@@ -755,7 +762,9 @@ def _texts(docs: DataFrame, placed: DataFrame, count: int, k: int) -> DataFrame:
 def _whole(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, text), one written row of each of ``nodes`` (node)."""
     placed = nodes.select(F.lit(None).cast("binary").alias("root"), F.lit(0).alias("chunk"), "node", _id(F.col("node")).alias("doc_id"))
-    texts = _own_texts(_texts(docs, placed, nodes.count(), k).select("node", "text"), k)
+    # the filter and the digests each have a worker for a task; dealt again, they don't run at once
+    texts = _texts(docs, placed, nodes.count(), k).select("node", "text").repartition(max(shuffle_partitions(docs.sparkSession), 8), "node")
+    texts = _own_texts(texts, k)
     return written(texts.groupBy("node").agg(F.min("text").alias("text")), "dedup-texts")
 
 
