@@ -13,10 +13,11 @@ Pieces longer than ``LONG`` bytes (runs of one letter, of white space) take the
 pair of minimum rank first, through a heap in O(n log n); results are the same.
 
 Decoding: rows (run of ids, position, id) join the vocabulary and an ordered aggregation concatenates
-their bytes, in DuckDB as well; a run is a word, and the distinct ones of a batch are decoded once.
+their bytes, in DuckDB as well; a run is a word, the distinct ones of a batch are decoded once, and
+``BLOCK`` ids of them are one aggregate.
 
-Memory: a batch's distinct pieces, a cache of at most ``CACHE`` pieces in each worker, and DuckDB
-under ``MEMORY``. Only the vocabulary's path is shipped; nothing is collected or shuffled, and a
+Memory: a batch's distinct pieces, caches of at most ``CACHE`` pieces and spans in each worker, from
+which those seldom used go first, and DuckDB under ``MEMORY``. Only the vocabulary's path is shipped; nothing is collected or shuffled, and a
 lost task is run again from its input alone.
 """
 
@@ -42,6 +43,8 @@ LONG = 256
 CACHE = 150_000
 #: Rows and bytes of text (or ids) that a worker takes at once, and ids that one list of DuckDB's holds.
 ROWS, SIZE, RUN = 2_000, 8 << 20, 1 << 18
+#: Pieces that one recursive query merges, and ids that one ordered aggregate decodes.
+LEARN, BLOCK = 20_000, 1 << 14
 MEMORY = "128MB"
 
 _ENCODE = """
@@ -53,8 +56,8 @@ WITH RECURSIVE state(piece, ids, live) AS (
     b.top IS NOT NULL
   FROM state s LEFT JOIN (
     SELECT p.piece, min((m.merged << 32) | p.pos) AS top
-    FROM (SELECT piece, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, unnest(range(1, len(ids))) AS pos FROM state WHERE live) p
-    JOIN merges m ON m.a = p.a AND m.b = p.b GROUP BY p.piece) b ON b.piece = s.piece
+    FROM (SELECT piece, (unnest(ids[:-2]) << 32) | unnest(ids[2:]) AS pair, unnest(range(1, len(ids))) AS pos FROM state WHERE live) p
+    JOIN merges m ON m.pair = p.pair GROUP BY p.piece) b ON b.piece = s.piece
   WHERE s.live)
 SELECT piece, ids FROM state WHERE NOT live ORDER BY piece
 """
@@ -97,11 +100,13 @@ class Codec:
         self.known, self.spans = Store(), Store()
         ids = self.ranks
         merges = [(ids[t[:i]], ids[t[i:]], r) for t, r in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids]
-        a, b, merged = zip(*merges, strict=True) if merges else ((), (), ())
-        self._table("merges", {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "merged": pa.array(merged, pa.int64())})
+        a, b, merged = np.array(merges, np.int64).reshape(-1, 3).T
+        self._table("merges", {"pair": pa.array(a << 32 | b), "merged": pa.array(merged)})
+        del merges
         self._table("vocab", {"id": pa.array(list(ids.values()), pa.int64()), "hex": pa.array([t.hex() for t in ids], pa.string())})
         self.bytes = np.array([ids[bytes([i])] for i in range(256)], np.int64)
-        self.spaced = np.zeros(max(ids.values()) + 1, bool)
+        self.spaced, self.lengths = np.zeros(max(ids.values()) + 1, bool), np.zeros(max(ids.values()) + 1, np.int64)
+        self.lengths[list(ids.values())] = [len(t) for t in ids]
         self.spaced[[i for t, i in ids.items() if t.startswith(b" ")]] = True
 
     def _table(self, name: str, columns: dict) -> None:
@@ -149,10 +154,8 @@ class Codec:
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of texts (no nulls). A text is cut where a piece begins whatever stands around, mostly into
         words with their space; such spans repeat, so a span's ids are put together from its pieces once."""
-        if len(self.known.slot) > CACHE:
-            self.known = Store()
-        if len(self.spans.slot) > CACHE:
-            self.spans = Store()
+        self.known.trim(CACHE)
+        self.spans.trim(CACHE)
         odd = np.asarray(pc.match_substring_regex(texts, _RUN)) if self.cuts else np.ones(len(texts), bool)
         order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
         # where no white space follows white space, every single space begins a span
@@ -169,6 +172,7 @@ class Codec:
         slots = np.empty((2, len(names)), np.int64)
         slots[0, later], slots[1, at_head] = self.spans.slots(spaced), self.spans.slots(first)
         rest = self.spans.slots(list(chain.from_iterable(others)))
+        self.spans.mark(np.concatenate([slots[0, later], slots[1, at_head], rest]))
         counts, flat = self.spans.put(np.concatenate([slots[head.astype(np.int64), codes], rest]), np.concatenate([rows, np.fromiter(map(len, others), np.int64, len(others))]))
         out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
         return out.take(pa.array(np.argsort(order))) if len(others) else out
@@ -176,8 +180,8 @@ class Codec:
     def _learn_spans(self, new: list[str]) -> None:
         cut = [self.pieces(s) for s in new]
         pieces = list(set().union(*cut).difference(self.known.slot))
-        for i in range(0, len(pieces), 50_000):
-            self._learn(pieces[i : i + 50_000])
+        for i in range(0, len(pieces), LEARN):
+            self._learn(pieces[i : i + LEARN])
         self.spans.add(new, *self.known.put_together(cut))
 
     def decode(self, ids: pa.Array) -> pa.Array:
@@ -194,11 +198,15 @@ class Codec:
         runs = pa.Array.from_buffers(pa.binary(), len(starts) - 1, buffers).dictionary_encode()
         sizes = np.asarray(pc.binary_length(runs.dictionary)).astype(np.int64) // 4
         own = np.frombuffer(runs.dictionary.buffers()[2], np.int32, int(sizes.sum()))
-        self.db.register("texts", pa.table({"doc": pa.array(np.arange(len(sizes))), "ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(own))}))
-        got = self.db.sql(_DECODE).to_arrow_table().combine_chunks()
-        place = np.full(len(sizes), -1)
-        place[np.asarray(got.column(0).combine_chunks())] = np.arange(got.num_rows)
-        raws = pc.fill_null(got.column(1).combine_chunks().cast(pa.binary()).take(pa.array(place, mask=place < 0)), b"")
+        # a block of runs is one ordered aggregate; a run's bytes lie where the sizes of its tokens say
+        edges = np.append(np.arange(0, len(own), BLOCK), len(own)).astype(np.int32)
+        self.db.register("texts", pa.table({"doc": pa.array(np.arange(len(edges) - 1)), "ids": pa.ListArray.from_arrays(pa.array(edges), pa.array(own))}))
+        got = self.db.sql(_DECODE).to_arrow_table().sort_by("doc").column("raw").combine_chunks().to_pylist()
+        known = np.where((own >= 0) & (own < len(self.lengths)), self.lengths[np.clip(own, 0, len(self.lengths) - 1)], 0)
+        joined, at = b"".join(got), np.append(0, np.cumsum(known))
+        if len(joined) != at[-1]:
+            raise ValueError(f"decoding gave {len(joined)} bytes where the tokens hold {at[-1]}")
+        raws = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at[np.append(0, np.cumsum(sizes))].astype(np.int32)), pa.py_buffer(joined)])
         every = raws.take(runs.indices)
         upto = np.append(0, np.cumsum(np.asarray(pc.binary_length(every)).astype(np.int64)))
         # the runs of a list lie side by side, and so do their bytes

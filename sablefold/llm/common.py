@@ -74,6 +74,27 @@ class Store:
     def __init__(self) -> None:
         self.slot: dict[str, int] = {}
         self.start, self.size, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
+
+    def mark(self, slots: np.ndarray) -> None:
+        """Count one use of strings, however often ``slots`` names them."""
+        used = np.zeros(len(self.uses), bool)
+        used[slots] = True
+        self.uses += used
+
+    def trim(self, most: int) -> None:
+        """Where more than ``most`` strings are held, keep those used twice or more, at most half of ``most``
+        and the most used first; uses count half from then on."""
+        if len(self.slot) <= most:
+            return
+        order = np.argsort(-self.uses, kind="stable")[: most // 2]
+        kept = np.sort(order[self.uses[order] > 1])
+        keys = list(self.slot)  # in the order of their slots
+        uses = self.uses[kept] >> 1
+        sizes, values = self.put(kept, np.ones(len(kept), np.int64))
+        self.__init__()
+        self.add([keys[i] for i in kept.tolist()], sizes, values)
+        self.uses[:] = uses
 
     def add(self, keys: list[str], sizes: np.ndarray, values: np.ndarray) -> None:
         n = len(self.start)
@@ -81,6 +102,7 @@ class Store:
         self.start = np.concatenate([self.start, len(self.values) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.values = np.concatenate([self.values, values.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
 
     def slots(self, keys: list[str]) -> np.ndarray:
         return np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
@@ -94,7 +116,9 @@ class Store:
         return np.diff(upto), flat
 
     def put_together(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        return self.put(self.slots(list(chain.from_iterable(rows))), np.fromiter(map(len, rows), np.int64, len(rows)))
+        slots = self.slots(list(chain.from_iterable(rows)))
+        self.mark(slots)
+        return self.put(slots, np.fromiter(map(len, rows), np.int64, len(rows)))
 
 
 def portions(batch: pa.RecordBatch, at: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,19 @@ def test_another_pattern_is_followed(library):
     other = tiktoken.Encoding("other", pat_str=r"[a-z]+ [a-z]+|\s+|.", mergeable_ranks=own.ranks, special_tokens={})
     texts = ["the other words here", "of the", "  a b c  ", "", "in 9 to be"]
     assert own.encode(pa.array(texts)).to_pylist() == [other.encode_ordinary(t) for t in texts]
+
+
+def test_a_full_store_keeps_what_is_used_again(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    own = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for i in range(12):
+        texts = [f"zebrafishes qwertyuiop {i}xq{i * 7}zz " + " ".join(f"w{i}k{j}ord" for j in range(30)) for _ in range(2)]
+        ids = own.encode(pa.array(texts))
+        assert ids.to_pylist() == [library.encode_ordinary(t) for t in texts]
+        assert [x.decode() for x in own.decode(ids).to_pylist()] == texts
+    assert len(own.spans.slot) < 120 and " qwertyuiop" in own.spans.slot
+
+
+def test_unknown_ids_have_no_bytes(library):
+    own = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert own.decode(pa.array([[10**6, -3], [72, 10**6, 73], None, []], pa.list_(pa.int32()))).to_pylist() == [b"", library.decode_bytes([72, 73]), b"", b""]
