@@ -40,11 +40,11 @@ from .common import Store, give_back, portions, table
 #: Bytes from which a piece is merged through a heap.
 LONG = 256
 #: Pieces, and spans of pieces, kept by a worker from one batch to the next.
-CACHE = 150_000
+CACHE = 300_000
 #: Rows and bytes of text (or ids) that a worker takes at once, and ids that one list of DuckDB's holds.
 ROWS, SIZE, RUN = 2_000, 1 << 20, 1 << 18
 #: Pieces that one recursive query merges, and ids that one ordered aggregate decodes.
-LEARN, BLOCK = 20_000, 1 << 14
+LEARN, BLOCK = 40_000, 1 << 14
 MEMORY = "128MB"
 
 _ENCODE = """
