@@ -14,7 +14,8 @@ a connected component of links; its name is its smallest doc_id.
    Comparing means signatures, in matrix form; pairs above a slack threshold become candidates, of
    which a region emits a spanning forest, never all pairs. The rows on both sides of a border between
    partitions are compared once more, together.
-3. Connected components of the candidates (hash-to-min over edges, written each round).
+3. Connected components of the candidates: up to ``EDGES`` edges by one task, more by hash-to-min over edges,
+   written each round; both name the same groups.
 4. The texts of a candidate component meet once: a filter of fixed size (at most ``FILTER_BITS`` bits, by
    hashed doc_id) keeps most other texts from moving at all. Inside, a breadth-first search confirms links
    on full sets: a pivot is compared with all members not yet reached, in one vector operation, so a
@@ -62,6 +63,9 @@ SLACK = 4.5
 BULK = 3_000_000
 HUBS = 4
 
+#: Edges up to which one task finds the connected components; more go through rounds of stars.
+EDGES = 1 << 18
+
 #: Counters by which shingles of large components are put in order; the order decides the work, not the result.
 COUNTERS = 1 << 20
 
@@ -379,11 +383,45 @@ def _least(rows: DataFrame) -> DataFrame:
     return whole.select("a", "m", _salts(F.col("mask")).alias("salt"))
 
 
+def least_members(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least member of the connected component of each of ``n`` nodes, by edges between their numbers."""
+    least = np.arange(n)
+    while not np.array_equal(one := least[a], two := least[b]):
+        low = np.minimum(one, two)
+        np.minimum.at(least, one, low)
+        np.minimum.at(least, two, low)
+        while not np.array_equal(least, after := least[least]):
+            least = after
+    return least
+
+
+def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (a, b) of a task; nodes have one length."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            size = len(batch.column(0)[0].as_py())
+            held.append(np.hstack([_fixed(batch.column(i), size) for i in (0, 1)]))
+    if held:
+        ends = np.concatenate(held).reshape(-1, size)
+        # in the order of their bytes; nodes are taken from the rows, as numpy's strings lose zeros at their end
+        _, first, codes = np.unique(np.ascontiguousarray(ends).view(f"S{size}")[:, 0], return_index=True, return_inverse=True)
+        nodes, codes = ends[first], codes.reshape(-1, 2)
+        roots = nodes[least_members(codes[:, 0], codes[:, 1], len(nodes))]
+        for i in range(0, len(nodes), 1 << 14):
+            yield pa.RecordBatch.from_arrays([_raw(nodes[i : i + (1 << 14)]), _raw(roots[i : i + (1 << 14)])], names=["node", "root"])
+    del held
+    give_back()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): (node, root), root the smallest node. Alternates large and
-    small stars until nothing changes; each round is a written table, minima are partial before every
-    shuffle, and the edges of a node are dealt by SALTS, so a node of any degree is spread over tasks."""
+    """Connected components of a written table of edges (a, b): (node, root), root the smallest node. Up to EDGES
+    edges go to one task. More: alternates large and small stars until nothing changes; each round is a written
+    table, minima are partial before every shuffle, and the edges of a node are dealt by SALTS, so a node of
+    any degree is spread over tasks."""
     now = edges.select("a", "b").filter("a <> b")
+    if edges.count() <= EDGES:
+        return written(now.coalesce(1).mapInArrow(_components_of, "node binary, root binary"), "dedup-components")
     last = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("salt", _salt(F.col("b")))
@@ -594,9 +632,7 @@ def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) ->
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(held[at[i : i + (1 << 16)]])], names=["at", "n"])
 
-    seen = texts.select("text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(COUNTERS, np.int64)
-    often[seen["at"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    often = _dense(texts.select("text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n")), COUNTERS)
     sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -671,6 +707,14 @@ def _across(texts: DataFrame, groups: DataFrame, k: int, num: int, den: int) ->
     return rows.mapInArrow(meet, "a binary, ga binary, b binary, gb binary").distinct()
 
 
+def _dense(rows: DataFrame, size: int) -> np.ndarray:
+    """The values of ``rows`` (place, value; longs) at their places in an array of ``size``, else 0. They come to the
+    driver as Arrow: an object a row would take 20 times their bytes."""
+    out, got = np.zeros(size, np.int64), rows.toArrow()
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
 def _filter(values: DataFrame, value: str, count: int):
     """A function that says of an array of longs whether one of them may be among ``values``: a bit for each
     value's low bits, at most FILTER_BITS, broadcast."""
@@ -678,10 +722,8 @@ def _filter(values: DataFrame, value: str, count: int):
     while bits < min(16 * count, FILTER_BITS):
         bits *= 2
     place = F.col(value).bitwiseAND(F.lit(bits - 1))
-    words = values.filter(F.col(value).isNotNull()).select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    sent = values.sparkSession.sparkContext.broadcast(table)
+    words = values.filter(F.col(value).isNotNull()).select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask"))
+    sent = values.sparkSession.sparkContext.broadcast(_dense(words, bits // 64))
 
     @F.pandas_udf("boolean")
     def may(at: pd.Series) -> pd.Series:
@@ -776,7 +818,7 @@ def _between(pairs: DataFrame, name) -> DataFrame:
 
 def _joined(links: DataFrame, more: DataFrame) -> DataFrame:
     """``links`` and ``more`` as stars around the least node of each group."""
-    groups = components(links.unionByName(more))
+    groups = components(written(links.unionByName(more), "dedup-joined"))
     return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 

@@ -237,3 +237,37 @@ def test_links_that_signatures_skip_are_found():
                 group = [b if g == a else g for g in group]
     got = D.links_within(sets, sigs, 85, 100, 0.5)
     assert len(set(zip(got, group, strict=True))) == len(set(got)) == len(set(group)) > 1
+
+
+def test_counters_of_the_prefix_join_reach_the_driver_as_arrays(spark):
+    import tracemalloc
+
+    texts = spark.range(30).selectExpr("cast(cast(id as string) as binary) as node", "array_join(transform(sequence(1, 20000), x -> concat(id, 'w', x)), ' ') as text")
+    groups = texts.selectExpr("node", "node as group")
+    texts.count()
+    tracemalloc.start()
+    try:
+        D._across(texts, groups, 3, 85, 100)  # counts at once, joins later
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 8 MB of counters; as an object a row they took 243 MB
+    assert peak < 50 << 20
+
+
+def test_few_edges_take_one_task_and_give_what_rounds_give(spark, monkeypatch):
+    rng = random.Random(8)
+    # names that end in zeros, a long chain, a star and pairs
+    names = [bytes([0, i % 7, i // 256, i % 256]) + bytes(D.NODE - 4) for i in range(900)]
+    rng.shuffle(names)
+    pairs = list(zip(names[:300], names[1:300])) + [(names[300], x) for x in names[301:600]] + list(zip(names[600:900:2], names[601:900:2])) + [(names[5], names[5])]
+    edges = D.written(spark.createDataFrame([(min(p), max(p)) for p in pairs], "a binary, b binary"), "test-edges")
+    tables, written = [], D.written
+    monkeypatch.setattr(D, "written", lambda df, name: tables.append(name) or written(df, name))
+    few = sorted(map(tuple, D.components(edges).collect()))
+    assert tables == ["dedup-components"]
+    monkeypatch.setattr(D, "EDGES", 10)
+    assert few == sorted(map(tuple, D.components(edges).collect())) and len(few) == 900
+    assert {r for _, r in few} == {min(names[:300]), min(names[300:600]), *(min(p) for p in zip(names[600:900:2], names[601:900:2]))}
+    monkeypatch.setattr(D, "EDGES", 10_000)
+    assert D.components(edges.filter("a = b")).collect() == []
