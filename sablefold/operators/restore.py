@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.values import as_text, from_text
 from ..patterns import TOKEN
 from ..plans.paths import json_leaves, json_replace, kind_at, parse, rebuilt, values_at
+from ..work import written
 from . import mapping as M
 from .apply import ROW, join_flat, keyed
 from .collect import json_values, looked_up, with_lookup
@@ -21,6 +22,10 @@ from .mapping import _type
 
 #: Replacements whose matcher is sent to the executors at once; more make further passes.
 BLOCK = 50_000
+#: Replacements up to which every text is tried against all of them where matches begin and end with words.
+DIRECT = 1_000
+#: Words of a replacement that are sought together; a longer one is found by its first ones.
+RUN = 16
 
 
 def restore(df: DataFrame, mapping: DataFrame, scope: str = "") -> DataFrame:
@@ -141,11 +146,8 @@ def _fragments(pairs: dict[str, str]) -> tuple[dict[str, str], set[str]]:
     known = {k.lower(): v for k, v in pairs.items()}
     parts: dict[str, set[str]] = {}
     for fake, original in pairs.items():
-        a, b = fake.split(), original.split()
-        if len(a) >= 2:
-            for x, y in ((a[0], b[0] if len(b) > 1 else original), (a[-1], b[-1] if len(b) > 1 else original)):
-                if len(x) >= 2 and x.isalpha():
-                    parts.setdefault(x.lower(), set()).add(y)
+        for x, y in _parts(fake, original):
+            parts.setdefault(x, set()).add(y)
     unclear = {p for p, o in parts.items() if len(o) > 1 and p not in known}
     for p, o in parts.items():
         if len(o) == 1:
@@ -153,6 +155,15 @@ def _fragments(pairs: dict[str, str]) -> tuple[dict[str, str], set[str]]:
     return known, unclear
 
 
+def _parts(fake: str, original: str) -> list[tuple[str, str]]:
+    """First and last part of a replacement of several parts, with what each stands for."""
+    a, b = fake.split(), original.split()
+    if len(a) < 2:
+        return []
+    ends = (a[0], b[0] if len(b) > 1 else original), (a[-1], b[-1] if len(b) > 1 else original)
+    return [(x.lower(), y) for x, y in ends if len(x) >= 2 and x.isalpha()]
+
+
 def _replace(text: str, found: list[tuple[int, int, str]], known: dict[str, str], unclear: set[str], tolerant: bool) -> tuple[str, list, list]:
     out, spans, left, at, size = [], [], [], 0, 0
     for a, b, hit in found:
@@ -178,16 +189,16 @@ def _replace(text: str, found: list[tuple[int, int, str]], known: dict[str, str]
 def restore_text(df: DataFrame, column: str, mapping: DataFrame, boundary: bool = False, tolerant: bool = False) -> DataFrame:
     """``df`` with ``restored`` and ``spans`` of a prose column; see restore_string().
 
-    The matcher goes to the executors in blocks of at most BLOCK replacements; each block's pass marks its
-    matches, and the last step takes the longest ones of all passes. Tolerant matching needs all names
-    at once to know ambiguous parts and refuses more than one block.
+    Where matches begin and end with words (``boundary``, ``tolerant``), a join finds the replacements of each
+    text. Otherwise the matcher goes to the executors in blocks of at most BLOCK replacements; each block's
+    pass marks its matches, and the last step takes the longest ones of all passes.
     """
     rows = M.reverse(mapping).filter(F.col("replacement") != "")
     n = rows.count()
     blocks = max(1, -(-n // BLOCK))
-    if tolerant and blocks > 1:
-        raise M.MappingError(f"tolerant restoring takes at most {BLOCK} replacements")
     kind = "struct<restored:string,spans:array<struct<start:int,end:int,original:string>>,ambiguous:array<string>>"
+    if (boundary or tolerant) and n > DIRECT:
+        return _restore_words(df, column, rows, kind, boundary, tolerant)
     if blocks == 1:
         pairs = {r[0]: r[1] for r in rows.collect()}
 
@@ -219,6 +230,73 @@ def restore_text(df: DataFrame, column: str, mapping: DataFrame, boundary: bool
     return done.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__r.restored").alias("restored"), F.col("__r.spans").alias("spans"))
 
 
+def _words(text: str, tolerant: bool) -> list[str]:
+    """Runs of word characters, in one case if tolerant. A match holds whole runs: no word character may be
+    next to it."""
+    return re.findall(r"\w+", text.lower().replace("ς", "σ") if tolerant else text)
+
+
+def _restore_words(df: DataFrame, column: str, rows: DataFrame, kind: str, boundary: bool, tolerant: bool) -> DataFrame:
+    """restore_text() for matches of whole words and any number of replacements: a replacement joins the texts
+    that have its words in sequence, by their hash, and a text is matched against its own replacements only."""
+
+    @F.pandas_udf("array<struct<key:string,value:string,whole:boolean>>")
+    def spelt(fakes: pd.Series, originals: pd.Series) -> pd.Series:
+        def keys(fake: str, original: str) -> list[dict]:
+            if not tolerant:
+                return [{"key": fake, "value": original, "whole": True}]
+            parts = [{"key": x, "value": y, "whole": False} for x, y in _parts(fake, original)]
+            return [{"key": fake.lower(), "value": original, "whole": True}, *parts]
+
+        return pd.Series([keys(a, b) for a, b in zip(fakes, originals, strict=True)], dtype=object)
+
+    @F.pandas_udf("struct<n:int,gram:string>")
+    def head(part: pd.Series) -> pd.DataFrame:
+        words = [_words(k, tolerant)[:RUN] for k in part]
+        return pd.DataFrame({"n": [len(w) for w in words], "gram": [" ".join(w) or k[0] for w, k in zip(words, part, strict=True)]})
+
+    each = rows.select(F.explode(spelt("replacement", "original")).alias("k")).select("k.*")
+    own, part = F.when(F.col("whole"), F.col("value")), F.when(~F.col("whole"), F.col("value"))
+    keys = each.groupBy("key").agg(F.max(own).alias("own"), F.min(part).alias("least"), F.max(part).alias("most"))
+    # a part that stands for several has no value
+    keys = keys.select("key", F.coalesce("own", F.when(F.col("least") == F.col("most"), F.col("least"))).alias("value"), head("key").alias("h"))
+    keys = written(keys.select("key", "value", "h.n", F.xxhash64("h.gram").alias("gram")), "replacements")
+    sizes = sorted(r[0] for r in keys.select("n").distinct().collect())  # RUN + 1 at most
+
+    @F.pandas_udf("array<string>")
+    def grams(part: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[str]:
+            if not text:
+                return []
+            words = _words(text, tolerant)
+            found = {" ".join(words[i : i + n]) for n in sizes if n for i in range(len(words) - n + 1)}
+            return list(found | set(re.findall(r"\W", text)) if 0 in sizes else found)
+
+        return pd.Series([of(t) for t in part], dtype=object)
+
+    @F.pandas_udf(kind)
+    def matched(part: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, found in part:
+            got = []
+            for t, keys in zip(texts, found, strict=True):
+                if not t or keys is None:
+                    got.append((t, [], []))
+                    continue
+                known = {k["key"]: k["value"] for k in keys if k["value"] is not None}
+                unclear = {k["key"] for k in keys if k["value"] is None}
+                hits = [(m.start(), m.end(), m[0]) for m in _matcher([*known, *unclear], boundary, tolerant).finditer(t)]
+                got.append(_replace(t, hits, known, unclear, tolerant))
+            yield pd.DataFrame({"restored": [g[0] for g in got], "spans": [[{"start": a, "end": b, "original": o} for a, b, o in g[1]] for g in got], "ambiguous": [g[2] for g in got]})
+
+    columns = df.columns
+    df = keyed(df)
+    hashes = F.array_distinct(F.transform(grams(F.col(f"`{column}`")), lambda g: F.xxhash64(g)))
+    pairs = df.select(ROW, F.explode(hashes).alias("gram")).join(keys.select("gram", "key", "value"), "gram")
+    found = pairs.groupBy(ROW).agg(F.collect_list(F.struct("key", "value")).alias("__found"))
+    done = df.join(found, ROW, "left").withColumn("__r", matched(F.col(f"`{column}`"), F.col("__found")))
+    return done.select(*[F.col(f"`{c}`") for c in columns], F.col("__r.restored").alias("restored"), F.col("__r.spans").alias("spans"))
+
+
 def _marks(text: Column, pairs: dict[str, str], boundary: bool) -> Column:
     """Every match of one block, overlapping ones of other blocks included."""
 

@@ -106,6 +106,19 @@ def test_prose_in_blocks_equals_one_block(spark, monkeypatch):
     assert sorted(r.restored or "" for r in R.restore_text(text, "t", mapping).collect()) == want and "Name0" in want[-1]
 
 
+@pytest.mark.parametrize("tolerant", [True, False])
+def test_words_in_prose_are_joined(spark, monkeypatch, tolerant):
+    fakes = {"Ada Belan": "Ann Lee", "Kim Ota": "Bo Ray", "Kim Ito": "Cy Fox", "<PERSON_1>": "Di Low", "***": "star", "O'Neil": "Ed", "Nikos ΑΣ": "Σam Y", "Eve": "Flo", "EVE ONE": "Gil", "one two three-four": "Hal"}
+    texts = ["ADA's friend Belan, and Kim", "Ada Belan met Adas, KIM OTA's and ada  belan", "x<PERSON_1> <person_1> *** a***b ****", "o'neil's Neil O'Neil O", "Nikos ΑΣ's νικος ας", "eve one Eve's ONE", "one two three-four one two three", "", None, "none"]
+    mapping = spark.createDataFrame([("p", o, f) for f, o in fakes.items()], "path string, original string, replacement string")
+    text = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [(i, *(R.restore_string(t, fakes, True, tolerant)[:2] if t else (t, []))) for i, t in enumerate(texts)]
+    for limit in ("DIRECT", "BLOCK"):
+        monkeypatch.setattr(R, limit, 3)
+        got = R.restore_text(text, "t", mapping, True, tolerant).orderBy("i").collect()
+        assert [(r.i, r.restored, [tuple(s) for s in r.spans]) for r in got] == want
+
+
 def test_messages_are_restored(spark):
     names = spark.createDataFrame([("Ann",), ("Bo",)], "full_name string")
     mapping = process(names, Config(mode="redact", value_detection=False))[1]
