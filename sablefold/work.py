@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def streamed(df: DataFrame, name: str, batch: int = 10_000) -> Iterator[tuple]:
+    """Rows of ``df`` in their order, for the driver: read ``batch`` at once from a table of the work folder, so
+    that no task sends them as its result. The table goes when they have been read."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    folder = make(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for part in sorted(n for f in store.listStatus(folder) if (n := f.getPath().getName()).startswith("part-")):
+            with tempfile.TemporaryDirectory() as local:
+                store.copyToLocalFile(False, make(f"{path}/{part}"), make(f"file://{local}/part"), True)
+                with pq.ParquetFile(f"{local}/part") as file:
+                    for some in file.iter_batches(batch):
+                        yield from zip(*[c.to_pylist() for c in some.columns], strict=True)
+    finally:
+        store.delete(folder, True)
+
+
+def stored(spark: SparkSession, rows: Iterable[tuple], schema: pa.Schema, name: str, batch: int = 10_000, batches: int = 50) -> DataFrame:
+    """Rows that the driver makes one after another, as a table of the work folder: it holds ``batch`` of them at
+    once and writes ``batches`` batches into a file."""
+    path, rows, n = work_path(spark, name), iter(rows), 0
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    store = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    some = list(islice(rows, batch))
+    while some or not n:
+        with tempfile.TemporaryDirectory() as local:
+            with pq.ParquetWriter(f"{local}/part", schema) as file:
+                for _ in range(batches):
+                    columns = zip(*some, strict=True) if some else [()] * len(schema)
+                    file.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+                    some = list(islice(rows, batch))
+                    if not some:
+                        break
+            store.copyFromLocalFile(True, True, make(f"file://{local}/part"), make(f"{path}/part-{n:05d}.parquet"))
+        n += 1
+    return spark.read.parquet(path)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, rows: int | None = None) -> DataFrame:
     """``df`` with ``name``: the row's number from 0 in its group (all rows, if ``group`` is empty).
 

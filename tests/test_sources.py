@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from sablefold import cli
 from sablefold.config import Config, parse_age
 from sablefold.operators.process import process
-from sablefold.sources import crypto, mappings, tables
+from sablefold.operators.mapping import COLUMNS
+from sablefold.sources import crypto, documents, mappings, tables
+from sablefold.work import written
 
 ROWS = [(1, "Ann Lee", "ann@x.org", 1.5), (2, 'Bo "B" Ray, Jr', None, 2.0), (3, "Ümit\nÖz", "u@x.org", None)]
 
@@ -70,6 +72,44 @@ def test_mapping_files_round_trip(spark, people, tmp_path, name, encrypt):
             mappings.load(spark, path, "other")
 
 
+@pytest.mark.parametrize("name,encrypt", [("m.json", False), ("m.db", False), ("m.json", True), ("m.db", True)])
+def test_mapping_files_take_no_rows_as_results(spark, tmp_path, monkeypatch, name, encrypt):
+    rows = spark.range(3000).select(*[F.lit(c).alias(c) for c in COLUMNS[:8] if c != "path"], F.when(F.col("id") < 9, "a").otherwise("ü").alias("path"), F.format_string("%040d\n", "id").alias("original"), F.lit("string").alias("repl_type"), F.format_string('<"%d">', "id").alias("replacement"))
+    mapping, path = written(rows.select(*COLUMNS).withColumn("orig_type", F.lit("string")).withColumn("original_dtype", F.lit("string")).withColumn("processed_dtype", F.lit("string")), "m"), str(tmp_path / name)
+    for f in ("toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(mapping), f, None)
+    collect, most = type(mapping).collect, []
+    monkeypatch.setattr(type(mapping), "collect", lambda df: most.append(len(got := collect(df))) or got)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda s, data, *a, made=type(spark).createDataFrame: most.append(len(data)) or made(s, data, *a))
+    monkeypatch.setattr(documents, "CHUNK", 1000)
+    monkeypatch.setattr(crypto, "CHUNK", 1000)  # several files of chunks
+    mappings.save(mapping, path, Config(mode="redact"), encrypt, "pass" if encrypt else None)
+    assert mappings.created_at(path) is not None
+    back = mappings.load(spark, path, "pass" if encrypt else None)
+    assert max(most, default=0) <= 1 and sorted(map(tuple, collect(back))) == sorted(map(tuple, collect(mapping)))
+    if encrypt:
+        with open(path) as f:
+            doc = json.load(f)
+        assert len(doc["chunks"]) > 256
+        for changed in (doc["chunks"][:-1], doc["chunks"][1::-1] + doc["chunks"][2:]):
+            with open(path, "w") as f:
+                json.dump(doc | {"chunks": changed}, f)
+            with pytest.raises(crypto.CryptoError):
+                mappings.load(spark, path, "pass")
+
+
+def test_documents_are_read_in_pieces(tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "CHUNK", 3)
+    made = tmp_path / "d.json"
+    entry = {"pairs": [[{"t": "int", "v": 12345}, {"t": "bool", "v": True}]], "scope": "", "column": "c", "category": "x", "kind": "flat", "path": "c", "original_dtype": "bigint", "processed_dtype": "boolean"}
+    made.write_text(json.dumps({"mappings": [entry, entry | {"pairs": []}], "version": 2.0, "created_at": None}, indent=3))
+    assert [(r[0], r[7:]) for r in mappings._read_json(str(made))] == [("", ("bigint", "12345", "boolean", "true"))]
+    assert mappings.created_at(str(made)) == os.path.getmtime(made)
+    for bad in ('{"mappings": [1, 2}', '{"mappings": []} x', '["mappings"]', "", '{"a": 1}', '{"mappings": [],}', "{1: 2}"):
+        made.write_text(bad)
+        assert mappings.created_at(str(made)) is None and not crypto.is_envelope(str(made))
+
+
 def test_first_version_and_undecodable_pairs(spark, tmp_path):
     old = tmp_path / "v1.json"
     old.write_text(json.dumps({"mappings": {"name": {"category": "name", "mapping": {"A": "B"}}, "plain": {"C": "D"}}}))
