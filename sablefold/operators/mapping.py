@@ -24,6 +24,10 @@ COLUMNS = ("scope", "column", "kind", "path", "category", "original_dtype", "pro
 SCHEMA = ", ".join(f"`{c}` string" for c in COLUMNS)
 
 
+#: Candidate fakes of a block; a task makes one block or several.
+CANDIDATES = 10_000
+
+
 class MappingError(ValueError):
     """A mapping that cannot be saved or used as asked. Messages hold no values."""
 
@@ -147,11 +151,10 @@ def _faked(values: DataFrame, meta: list[tuple], config: Config, known: DataFram
     sizes = sizes.withColumn("c", F.when(coded, synth.counter(F.col("shape")))).select("gen", "shape", "n", F.when(coded, F.col("c.size")).otherwise(F.lit(1 << 40)).alias("size"), "c.weights")
     extra = F.lit(0) if known is None else F.lit(known.count())
     wanted = F.least(F.col("size"), 2 * F.col("n") + extra)
-    # one row for each candidate; blocks of numbers first, so that a large shape is made by many tasks
-    blocks = sizes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((wanted - 1) / 10_000)))).withColumn("wanted", wanted)
-    blocks = blocks.repartition("gen", "shape", "block")
-    numbers = blocks.withColumn("k", F.explode(F.sequence(F.col("block") * 10_000, F.least(F.col("block") * 10_000 + 9_999, F.col("wanted") - 1))))
-    kinds = [r[0] for r in sizes.select("gen").distinct().collect()]  # a dozen generators
+    sizes = sizes.withColumn("wanted", wanted)
+    gens = sizes.groupBy("gen").agg(F.sum(F.floor((F.col("wanted") - 1) / CANDIDATES) + 1).alias("blocks")).collect()  # a dozen generators
+    kinds = [r.gen for r in gens]
+    numbers = _numbers(sizes, sum(r.blocks for r in gens))
     text = F.when(coded, synth.code(F.col("shape"), F.col("size"), F.col("weights"), F.col("k"), config.seed))
     for g in kinds:
         if g not in ("id", "digits", "int", "real"):
@@ -174,6 +177,16 @@ def _faked(values: DataFrame, meta: list[tuple], config: Config, known: DataFram
     return values.join(fakes, ["category", "original"]).select("target", "original", "replacement")
 
 
+def _numbers(sizes: DataFrame, blocks: int) -> DataFrame:
+    """One row for each candidate ``k`` below ``wanted`` of a row of ``sizes``; blocks of numbers first, so that a
+    large shape is made by many tasks. Their number is set: blocks are so small before they are filled that
+    adaptive execution would put them all into one task."""
+    parts = min(blocks, max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 16))
+    each = sizes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("wanted") - 1) / CANDIDATES))))
+    each = each.repartition(max(1, parts), "gen", "shape", "block")
+    return each.withColumn("k", F.explode(F.sequence(F.col("block") * CANDIDATES, F.least(F.col("block") * CANDIDATES + CANDIDATES - 1, F.col("wanted") - 1))))
+
+
 def _leftover(left: DataFrame, one: DataFrame, used: DataFrame) -> DataFrame:
     """Originals without a candidate: each takes the next one's value, the last the first's; a single one
     takes another original of its shape, or a label where the shape has no other value."""

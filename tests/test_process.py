@@ -209,3 +209,11 @@ def test_many_nulls_join_in_several_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_candidates_are_made_by_many_tasks(spark):
+    sizes = spark.createDataFrame([("real", "99999.99", 300_001), ("int", "9", 9)], "gen string, shape string, wanted long")
+    made = M._numbers(sizes, 32)
+    assert made.groupBy("gen").agg(F.count_distinct("k").alias("n"), F.min("k").alias("least"), F.max("k").alias("most")).orderBy("gen").collect() == [("int", 9, 0, 8), ("real", 300_001, 0, 300_000)]
+    tasks = [r[0] for r in made.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(tasks) > 2 and max(tasks) < 200_000
